@@ -5,7 +5,7 @@ space collapsed).  Its *tokens* are drawn from this set alike for all records:
 the hash space is cut into 64 bins, the smallest hash of each bin is a token, so
 that two records share a bin's token with a probability equal to their likeness.
 
-Each of 24 fixed orders of the bins gives one key: the prefix of the order is
+Each of 32 fixed orders of the bins gives one key: the prefix of the order is
 *extended* token by token until the combination is expected in only a few
 records, going by the tokens' frequencies over the whole collection.  A rare
 token is thus indexed (almost) on its own, frequent ones in combinations.  A
@@ -19,7 +19,6 @@ Copies (equal after lower-casing and collapsing) are one class from the start.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,12 +31,12 @@ from docloom.runtime import spread, written
 
 WIDTH = 8
 BINS = 64
-ORDERS = 24
+ORDERS = 32
 LONGEST = 7
 # A token counts as frequent from this share of the records on; so there are at
 # most BINS / FREQUENT frequent tokens (640,000, 5 MB broadcast) at any scale.
 FREQUENT = 1e-4
-EXPECTED = 2.0
+EXPECTED = 0.25
 GROUP = 256  # larger groups of one key are split over tasks
 _SPACE = re.compile(r"\s+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -90,25 +89,26 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common / union if union else 0.0
 
 
-def sketches(records: DataFrame, min_length: int) -> DataFrame:
-    """kind, id, size, class (hash of the normalised text), tokens."""
-    kept = records.where((F.length("text") >= min_length) & F.col("id").isNotNull()).select("kind", F.col("id").cast("long").alias("id"), "text")
+def classed(records: DataFrame, min_length: int) -> DataFrame:
+    """kind, id, class (digest of the lower-cased text with white space collapsed), text."""
+    kept = records.where((F.length("text") >= min_length) & F.col("id").isNotNull())
+    same = F.unhex(F.md5(F.regexp_replace(F.lower("text"), r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+", " ")))
+    return kept.select("kind", F.col("id").cast("long").alias("id"), same.alias("class"), "text")
+
+
+def sketches(records: DataFrame) -> DataFrame:
+    """kind, id, class, size, tokens of classed records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, tokens = [], [], []
-            for t in batch.column(2).to_pylist():
-                t = normal(t)
-                h = shingle_hashes(t)
+            sizes, tokens = [], []
+            for t in batch.column(3).to_pylist():
+                h = shingle_hashes(normal(t))
                 sizes.append(len(h))
-                classes.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 tokens.append(tokens_of(h).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), pa.array(tokens, pa.binary())],
-                names=["kind", "id", "size", "class", "tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(tokens, pa.binary())], names=["kind", "id", "class", "size", "tokens"])
 
-    out = spread(kept).mapInArrow(run, "kind string, id long, size int, class binary, tokens binary")
+    out = spread(records).mapInArrow(run, "kind string, id long, class binary, size int, tokens binary")
     return out.where("size > 0")  # texts of nothing but white space have no strings in common
 
 
@@ -291,12 +291,9 @@ def similar(records: DataFrame, threshold: float = 0.6, min_length: int = 300) -
     their texts differ, each text is looked at).  Null ids and texts and short
     texts are left out; an empty table gives empty results.
     """
-    all_rows = written(sketches(records, min_length), "neardup-sketches")
-    reps_by_class = all_rows.groupBy("kind", "class").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    reps = written(reps_by_class, "neardup-reps")
-    members = (
-        all_rows.select("kind", "class", "id").distinct().join(reps.select("kind", "class", F.col("id").alias("rep")), ["kind", "class"]).select("kind", "id", "rep", "class")
-    )
+    rows = classed(records, min_length)
+    reps = written(sketches(rows).groupBy("kind", "class").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "neardup-reps")
+    members = rows.select("kind", "class", "id").distinct().join(reps.select("kind", "class", F.col("id").alias("rep")), ["kind", "class"])
     total = reps.count()
     close = written(_agreement(reps, _candidates(reps, total), threshold), "neardup-close")
     wanted = close.select("kind", F.col("a").alias("id")).unionByName(close.select("kind", F.col("b").alias("id"))).distinct()

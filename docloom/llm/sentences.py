@@ -46,22 +46,32 @@ def language(lang: str | None) -> str:
     return code if len(code) == 2 else ""
 
 
-@lru_cache(1)
-def _counting():
-    follow = re.compile(r"(\S+?)([.!?…]+)[\"”»“’)]*\s+(?=[\"“«„(]?([^\s\"“”«»„()]+))")
-    return follow
-
-
 @lru_cache(1)
 def _heads():
     return re.compile(r"(?:\A|\n\s*\n|।)\s*[\"“«„]?([^\s\"“”«»„]+)").findall
 
 
+_BEFORE, _AFTER = "\"“«„(‘[（", "\"”»“’),;:"
+_LAST = frozenset(".!?…\"”»“’)")
+_TYPE = re.compile(r"[^\W\d_]")
+
+
 def _tally(text: str, words: Counter, pairs: Counter) -> None:
-    words.update(text.split())
-    for before, stop, after in _counting().findall(text):
-        if stop == ".":
-            pairs[(before.lstrip("\"“«„(‘"), after)] += 1
+    tokens = text.split()
+    words.update(tokens)
+    for token, after in zip(tokens, tokens[1:], strict=False):
+        if token[-1] not in _LAST:
+            continue
+        core = token.rstrip("\"”»“’)")
+        stem = core.rstrip(".!?…")
+        if len(stem) == len(core):
+            continue
+        after = after.lstrip(_BEFORE)
+        if not after:
+            continue
+        if core[len(stem) :] == ".":
+            before = stem.lstrip(_BEFORE)
+            pairs[(before, after)] += 1
             if len(before) > 1 and (before.islower() or len(before) > 5) and "." not in before:
                 pairs[("", after)] += 1  # few of these are abbreviations
         elif after[0].isupper() or "ऀ" <= after[0]:
@@ -71,8 +81,9 @@ def _tally(text: str, words: Counter, pairs: Counter) -> None:
 
 
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, a, b, n: b null: type a (as written, with its period if any) occurs
-    n times; a '': type b starts a sentence n times; else b follows `a.`."""
+    """kind, lang, a, b, n.  Kind `type`: the type a (with its period, if it has
+    one) occurs n times, of tokens in all as a = ''; `start`: b starts a sentence
+    n times; `pair`: b follows `a.`."""
     kept = spread(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,14 +92,17 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
         def out() -> Iterator[pa.RecordBatch]:
             for code in words:
-                rows = [(code, w, None, n) for w, n in words[code].items() if len(w) <= 16]
-                rows += [(code, a, b[:24], n) for (a, b), n in pairs[code].items() if len(a) <= 8]
+                types: Counter = Counter()
+                for w, n in words[code].items():
+                    types[""] += n
+                    w = w.lstrip(_BEFORE).rstrip(_AFTER)
+                    if w and len(w) <= 16 and (_TYPE.match(w) or _ORDINAL.match(w)):
+                        types[w] += n
+                rows = [("type", code, w, None, n) for w, n in types.items()]
+                rows += [("pair" if a else "start", code, a, b[:24], n) for (a, b), n in pairs[code].items() if len(a) <= 8]
                 for at in range(0, len(rows), 20000):
                     part = list(zip(*rows[at : at + 20000], strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.string()), pa.array(part[3], pa.int64())],
-                        names=["lang", "a", "b", "n"],
-                    )
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in part[:4]], pa.array(part[4], pa.int64())], names=["kind", "lang", "a", "b", "n"])
             words.clear()
             pairs.clear()
 
@@ -98,12 +112,12 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
                     if code not in words:
                         words[code], pairs[code] = Counter(), Counter()
                     _tally(t, words[code], pairs[code])
-            if sum(map(len, words.values())) + sum(map(len, pairs.values())) > 400_000:
+            if sum(map(len, words.values())) + sum(map(len, pairs.values())) > 600_000:
                 yield from out()
         yield from out()
 
-    partial = kept.mapInArrow(run, "lang string, a string, b string, n long")
-    return partial.groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+    partial = kept.mapInArrow(run, "kind string, lang string, a string, b string, n long")
+    return partial.groupBy("kind", "lang", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict]:
@@ -114,26 +128,26 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     starters, ``after_number`` words that follow an ordinal's period.
     """
     table = written(counts(docs, text, lang), "sentence-counts")
-    types = table.where("b is null")
-    size = types.groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("a").endswith("."), F.col("n")).otherwise(0)).alias("dots"))
-    bare = F.regexp_replace("a", r"^[\"“«„(‘]+", "")
-    typed = types.select("lang", F.regexp_replace(bare, r"[\"”»“’),;:]+$", "").alias("a"), "n").where("a <> ''")
+    types = written(table.where("kind = 'type' and a <> ''").select("lang", "a", "n"), "sentence-types")
+    pairs = written(table.where("kind <> 'type'").select("kind", "lang", "a", "b", "n"), "sentence-pairs")
+    all_n = table.where("kind = 'type' and a = ''").select("lang", F.col("n").alias("all_n"))
+    dots = types.where("a like '%.'").groupBy("lang").agg(F.sum("n").alias("dots"))
+    size = F.broadcast(all_n.join(dots, "lang"))  # one row for each two-letter code
     # starters: share of a type's occurrences that open a sentence
-    opens = table.where("a = ''").groupBy("lang", "b").agg(F.sum("n").alias("k"))
-    total = typed.groupBy("lang", "a").agg(F.sum("n").alias("c"))
+    opens = pairs.where("kind = 'start'").select("lang", "b", F.col("n").alias("k"))
     starters = (
         opens.join(size, "lang")
         .where((F.col("k") >= F.lit(FLOOR) * F.col("all_n")) & (F.col("k") >= LEAST))
-        .join(total.withColumnRenamed("a", "b"), ["lang", "b"])
-        .join(opens.groupBy("lang").agg(F.sum("k").alias("all_k")), "lang")
+        .join(types.select("lang", F.col("a").alias("b"), F.col("n").alias("c")), ["lang", "b"])
+        .join(F.broadcast(opens.groupBy("lang").agg(F.sum("k").alias("all_k"))), "lang")
     )
     # log likelihood of the type at starts against elsewhere, one-sided
     p1, p0 = F.col("k") / F.col("all_k"), F.greatest(F.col("c") - F.col("k"), F.lit(0.5)) / F.col("all_n")
-    starters = starters.where((p1 > p0) & (F.col("k") * F.log(p1 / p0) > 7.88) & (F.col("k") > 0.4 * F.col("c"))).select("lang", "b", "k")
+    starters = starters.where((p1 > p0) & (F.col("k") * F.log(p1 / p0) > 7.88) & (F.col("k") > 0.4 * F.col("c")) & ~F.col("b").endswith(".")).select("lang", "b")
+    starters = written(starters, "sentence-starters")
     # abbreviations
-    with_dot = typed.where("a like '%.'").select("lang", F.expr("substring(a, 1, length(a) - 1)").alias("w"), "n")
-    with_dot = with_dot.groupBy("lang", "w").agg(F.sum("n").alias("c1"))
-    without = typed.where("a not like '%.'").groupBy("lang", F.col("a").alias("w")).agg(F.sum("n").alias("c0"))
+    with_dot = types.where("a like '%.'").select("lang", F.expr("substring(a, 1, length(a) - 1)").alias("w"), F.col("n").alias("c1"))
+    without = types.where("a not like '%.'").select("lang", F.col("a").alias("w"), F.col("n").alias("c0"))
     letters = F.length(F.regexp_replace("w", r"\.", ""))
     inner = F.length("w") - letters
     cand = (
@@ -147,7 +161,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     ratio = 2 * (F.col("c1") * F.log(F.lit(0.99) / null) + F.col("c0") * F.log(F.lit(0.01) / (1 - null)))
     cand = cand.withColumn("score", ratio * F.exp(-letters) * (inner + 1) * F.pow(letters.cast("double"), -F.least(F.greatest(F.col("c0") - 0.1 * F.col("c1"), F.lit(0.0)), F.lit(60.0))))
     cand = cand.where((F.col("score") > 0.3) | ((letters == 1) & (ratio > 0)))
-    follow = table.where("b is not null and a <> ''").withColumnRenamed("a", "w")
+    follow = pairs.where("kind = 'pair'").select("lang", F.col("a").alias("w"), "b", "n")
+    cand = written(cand, "sentence-abbreviations")
     follow = follow.join(cand.select("lang", "w"), ["lang", "w"], "left_semi").join(starters.select("lang", "b", F.lit(1).alias("s")), ["lang", "b"], "left")
     lower, digit = F.col("b").rlike(r"^[\p{Ll}]"), F.col("b").rlike(r"^\p{N}")
     shares = follow.groupBy("lang", "w").agg(
@@ -159,22 +174,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     abbr = cand.join(shares, ["lang", "w"], "left").fillna(0, ["f", "low", "num", "st"])
     rows = abbr.select("lang", "w", "c1", "f", "low", "num", "st", "score").collect()  # at most 1 / FLOOR a language
     # ordinals: a word that mostly follows a number with a period
-    numbered = typed.where(F.col("a").rlike(r"^\d{1,3}\.$")).groupBy("lang").agg(F.sum("n").alias("D"))
-    ordinal = (
-        table.where(F.col("b").isNotNull() & F.col("a").rlike(r"^\d{1,3}$"))
-        .groupBy("lang", "b")
-        .agg(F.sum("n").alias("k"))
-        .join(size, "lang")
-        .where((F.col("k") >= F.lit(FLOOR) * F.col("all_n")) & (F.col("k") >= LEAST))
-        .withColumn("a", F.regexp_replace("b", r"[.,;:!?]+$", ""))
-        .groupBy("lang", "a")
-        .agg(F.sum("k").alias("k"))
-        .join(typed.select("lang", F.regexp_replace("a", r"[.,;:!?]+$", "").alias("a"), "n").groupBy("lang", "a").agg(F.sum("n").alias("c")), ["lang", "a"])
-        .join(numbered, "lang")
-        .where("k > 0.25 * c")
-        .select("lang", "a")
-        .collect()
-    )
+    bare = F.regexp_replace("b", r"[.,;:!?]+$", "").alias("a")
+    after = pairs.where("kind = 'pair'").where(F.col("a").rlike(r"^\d{1,3}$")).select("lang", bare, "n").groupBy("lang", "a").agg(F.sum("n").alias("k"))
+    after = after.join(size, "lang").where((F.col("k") >= F.lit(FLOOR) * F.col("all_n")) & (F.col("k") >= LEAST))
+    whole = types.select("lang", F.regexp_replace("a", r"[.!?]+$", "").alias("a"), "n").groupBy("lang", "a").agg(F.sum("n").alias("c"))
+    ordinal = after.join(whole, ["lang", "a"]).where("k > 0.25 * c").select("lang", "a").collect()
     models: dict[str, dict] = {}
 
     def model(code: str) -> dict:
@@ -207,12 +211,13 @@ _BRACKETS = frozenset(")）]】")
 _CLOSERS = _QUOTES | _BRACKETS
 _MARK_RE = re.compile(r"[“”«»「」『』()（）\[\]„\"‹›【】]")
 _END_RE = re.compile(r"[.!?…。！？।]+")
-_LIST_RE = re.compile(r"(?:[-*•–—·◦▪‣]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)])[ \t]+(?=\S)")
+_LIST_RE = re.compile(r"(?:[-*•–—·◦▪‣]|\(?\d{1,3}[.)]|\(?(?:[A-Za-z]|[ivxIVX]{1,4})\))[ \t]+(?=\S)")
 _LINE_RE = re.compile(r"[^\n]+")
 _URL_RE = re.compile(r"(?:www\.|https?://|@)|\.\w+/")
 _NUMBER_RE = re.compile(r"^\d+$")
 _INITIAL_RE = re.compile(r"^(?:[^\W\d_]\.?-?){1,3}$")
 _THAI = re.compile(r"[ก-๛]")
+_ORDINAL = re.compile(r"\d{1,3}\.$")
 _THAI_GAP = re.compile(r"(?<=[^\s\d])[ \t]+(?=[^\s\d])")
 _UNSPACED_SAID = re.compile(r"[^。！？\s“”「」]{0,24}?(?:" + "|".join(SAYING_UNSPACED.split()) + r")[^。！？：:“「]{0,12}[。！？]")
 _JA_GOES_ON = re.compile(r"と|って|など|を|は|が|に|も|の|で")
@@ -265,7 +270,12 @@ def _segments(text: str) -> list[tuple[int, int]]:
         limits = sorted(room[i] for i in sure)
         width = limits[len(limits) // 10] - 1
         for i, n in room.items():
-            wraps[i] = n > width and sizes[i] <= 400
+            open_end = text[lines[i][0] : lines[i][1]].rstrip()[-1] not in ".!?…।。！？:;”\"»)" and not _LIST_RE.match(text[lines[i][0] : lines[i][1]].lstrip())
+            a = lines[i + 1][0]
+            while text[a].isspace():
+                a += 1
+            open_end = open_end or (text[a].islower() and not _is_upper(text, a))
+            wraps[i] = (n > width or open_end and sizes[i] > 0.55 * width) and sizes[i] <= 400
         for i in sure:
             wraps[i] = True
     out, start = [], lines[0][0]
@@ -317,7 +327,11 @@ def sentence_spans(text: str | None, lang: str | None, models: dict[str, dict])
     if model is None:
         words = text[:600].split()
         best = max(models, key=lambda k: sum(w in models[k]["start"] for w in words), default=None)
-        model = models[best] if best is not None else {"lead": set(), "trail": set(), "start": set(), "after_number": set()}
+        empty: dict = {"lead": set(), "trail": set(), "start": set(), "after_number": set()}
+        guess = models[best] if best is not None else empty
+        # of other languages the abbreviations that end nothing, unless the guessed one has them otherwise
+        lead = set().union(*(m["lead"] for m in models.values())) - guess["trail"]
+        model = {**guess, "lead": lead}
     units: list[tuple[int, int]] = []
     for a, b in _segments(text):
         _cut(text, a, b, model, units)

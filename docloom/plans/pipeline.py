@@ -18,7 +18,7 @@ from docloom.functions.vectors import EmbeddingProvider, HashEmbedding, with_emb
 from docloom.operators import dedup, evaluate, graph, phrases, salience, segments
 from docloom.plans import prompts
 from docloom.plans.providers import LeadSummarizer, Summarizer, with_summary
-from docloom.runtime import written
+from docloom.runtime import spread, written
 
 SAMPLE, CHUNK = "sample_id", "chunk_idx"
 POSITIONS = 1_000_000  # chunk_idx = doc_ord * POSITIONS + position keeps the order of documents
@@ -59,7 +59,7 @@ def language_code(column: str = "lang") -> Column:
 
 def prepare(docs: DataFrame) -> DataFrame:
     """The columns the pipeline reads; rows without a sample are left out."""
-    return docs.where(F.col(SAMPLE).isNotNull()).select(
+    return spread(docs).where(F.col(SAMPLE).isNotNull()).select(
         F.col(SAMPLE).cast("string").alias(SAMPLE),
         F.col("doc_ord").cast("long").alias("doc_ord"),
         "document_id",

@@ -17,7 +17,7 @@ from docloom.operators import dedup, evaluate, graph, phrases, salience, segment
 from docloom.operators.blocks import nearest, similar_pairs
 from docloom.operators.components import connected_components
 from docloom.plans import pipeline, trace
-from docloom.runtime import one_row_per, spread, table
+from docloom.runtime import one_row_per, spread, table, written
 
 FLAGSHIP = "e2e_summary"
 # the setting of the reported runs: sentence-packed chunks of 150 to 1,500 tokens
@@ -80,7 +80,7 @@ unit AS (SELECT doc_id, sent_index AS center, count(*) OVER w AS sentence_count,
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT doc_id, {_NORM} AS normalized FROM documents")
@@ -315,7 +315,7 @@ def compact_support(spark, sf_dir):
 
 @query()
 def hash_embedding(spark, sf_dir):
-    d = spread(_docs(spark, sf_dir).where("text is not null").select("doc_id", "text"))
+    d = _docs(spark, sf_dir).where("text is not null").select("doc_id", "text")
     return with_embedding(d, "text", embedder("hash")).select("doc_id", "embedding")
 
 
@@ -380,7 +380,7 @@ d AS (SELECT a.sample, a.chunk AS i, b.chunk AS j, sum(a.w * b.w) AS d FROM w a
 SELECT x.sample, x.chunk AS i, y.chunk AS j, round(coalesce(d.d / (x.n * y.n), 0), 6) AS similarity FROM norm x JOIN norm y ON x.sample = y.sample AND y.chunk = x.chunk + 1
 LEFT JOIN d ON d.sample = x.sample AND d.i = x.chunk AND d.j = y.chunk""")
 def phrase_similarity(spark, sf_dir):
-    m = _part_phrases(spark, sf_dir)
+    m = written(_part_phrases(spark, sf_dir), "phrase-map")
     chunks = m.select("sample", "chunk").distinct()
     pairs = chunks.select("sample", F.col("chunk").alias("i"), (F.col("chunk") + 1).alias("j")).join(chunks.select("sample", F.col("chunk").alias("j")), ["sample", "j"])
     out = phrases.phrase_similarity(m, phrases.phrase_idf(m, m, "sample", "chunk"), pairs.select("sample", "i", "j"), "sample", "chunk")

@@ -45,7 +45,7 @@ def _patterns():
 
     return {
         "stop": regex.compile(r"(?:[.!?…。！？।؟]|[;；:](?=\s*$))[\"'”“»«’」』）)\]]*$"),
-        "number_dot": regex.compile(r"(?<!\d[.,])(?<!\d)\d{1,4}[.]$"),
+        "number_dot": regex.compile(r"(?<![\p{L}\p{N}.,/-])\d{1,4}[.]$"),
         "short_dot": regex.compile(r"(?:^|[\s(\[“\"„«])([\p{L}.\-]{1,6})\.$"),
         "item": regex.compile(r"^\s*(?:[-*•–—]|\(?\w{1,3}[.)])\s+\S"),
         "link": regex.compile(r"^(?:https?://|www\.)\S+\.\p{L}{2,}(/\S*)?$"),

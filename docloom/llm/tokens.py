@@ -30,11 +30,16 @@ from docloom.runtime import spread
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pre-token pattern that belongs to the vocabulary
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_STATES = 400_000
-MAX_WORDS = 600_000
+# entries of each memory in a worker: together some 150 MB at most
+MAX_STATES = 150_000
+MAX_WORDS = 300_000
+MAX_PAIRS = 300_000
 NEVER = 1 << 62
 
 
+_NONE: dict = {}
+
+
 class _State:
     __slots__ = ("base", "lasts", "live", "next")
 
@@ -42,7 +47,7 @@ class _State:
         self.live = live  # longest suffix that some token may still continue
         self.base = base  # last token before the window, -1 at the start of the pre-token
         self.lasts = lasts  # last token at each byte of the window
-        self.next: dict[str, tuple[_State, tuple[int, ...]]] = {}
+        self.next: dict[str, tuple[_State, tuple[int, ...]]] = _NONE  # its own once it has a successor
 
 
 class PrefixEncoder:
@@ -64,11 +69,11 @@ class PrefixEncoder:
         self._kept: dict[tuple[int, int], bool] = {}
         self._halves: dict[int, tuple[bytes, bytes] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
+        self.words: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self._states: dict[tuple, _State] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
         self.root = self._state(b"", -1, ())
 
     def _state(self, live: bytes, base: int, lasts: tuple[int, ...]) -> _State:
@@ -151,6 +156,8 @@ class PrefixEncoder:
                 base = lasts[cut - 1]
                 live, lasts = live[cut:], lasts[cut:]
         entry = (self._state(live, base, tuple(lasts)), tuple(fresh))
+        if state.next is _NONE:
+            state.next = {}
         state.next[char] = entry
         return entry
 
@@ -183,9 +190,12 @@ class PrefixEncoder:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(self._states) > MAX_STATES or len(self.words) > MAX_WORDS or len(self._kept) > MAX_STATES:
-            self._kept = {}
+        if len(self._states) > MAX_STATES:
             self._reset()
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        if len(self._kept) > MAX_PAIRS:
+            self._kept.clear()
         words = self.words
         return list(chain.from_iterable([words.get(w) or self.word(w) for w in self.split(text)]))
 

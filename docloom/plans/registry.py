@@ -495,6 +495,55 @@ def samples(spark, sf_dir):
     return sample_list(_docs(spark, sf_dir), table(spark, sf_dir, "ref_texts"))
 
 
+# ------------------------------------------------------- prompts and readers
+
+
+@query(f"""WITH j AS (SELECT doc_id, coalesce(text, '') || '|||||' || coalesce(title, '') || '||||| ' AS d FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(d, '|||||'), lambda x: {_strip('x')}), lambda x: x <> '') AS parts, d FROM j),
+f AS (SELECT doc_id, CASE WHEN len(parts) > 0 THEN parts ELSE [d] END AS parts FROM p)
+SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS doc_ord, unnest(parts) AS text FROM f""")
+def multi_doc_split(spark, sf_dir):
+    """Documents joined by the separator of the table layout and split again."""
+    from docloom.sources.clusters import split_documents
+
+    d = _docs(spark, sf_dir).where("doc_id is not null")
+    joined = F.concat(F.coalesce("text", F.lit("")), F.lit("|||||"), F.coalesce("title", F.lit("")), F.lit("||||| "))
+    return d.select("doc_id", F.posexplode(split_documents(joined)).alias("doc_ord", "text"))
+
+
+@query("""SELECT result_id, CASE WHEN dataset IN ('vn_mds', 'vims') THEN 'Vietnamese' ELSE 'English' END AS language,
+CASE WHEN max_summary_words > 0 THEN 'At most ' || max_summary_words || ' words, ending with a whole sentence.' ELSE 'No limit on length.' END AS length_rule,
+coalesce(CASE dataset WHEN 'vn_mds' THEN 180 WHEN 'vims' THEN 235 WHEN 'multi_news' THEN 260 END, 0) AS default_words FROM (SELECT DISTINCT result_id, dataset, max_summary_words FROM results)""")
+def prompt_rules(spark, sf_dir):
+    """Language, length rule and default budget of each run."""
+    from docloom.plans import prompts
+
+    r = table(spark, sf_dir, "results").select("result_id", "dataset", "max_summary_words").distinct()
+    lang = F.when(F.col("dataset").isin("vn_mds", "vims"), "vi").otherwise("en")
+    words, _ = pipeline.budgets(F.col("dataset"), REPORTED)
+    return r.select("result_id", TX.language_name(lang).alias("language"), prompts.length_rule(F.col("max_summary_words")).alias("length_rule"), F.coalesce(words, F.lit(0)).alias("default_words"))
+
+
+@query(f"""SELECT sample_id, {_strip("string_agg(coalesce(block, ''), E'\n\n' ORDER BY doc_ord)")} AS block FROM (SELECT sample_id, doc_ord,
+  '[Document ' || row_number() OVER (PARTITION BY sample_id ORDER BY doc_ord, document_id) || ': ' || document_id || ']' || CASE WHEN coalesce(title, '') <> '' THEN E'\nTitle: ' || title ELSE '' END
+  || CASE WHEN coalesce(source, '') <> '' THEN E'\nSource: ' || source ELSE '' END || E'\n' || coalesce(text, '') AS block FROM documents WHERE sample_id IS NOT NULL) GROUP BY sample_id""")
+def prompt_blocks(spark, sf_dir):
+    """The source block, cut out of each sample's direct prompt again."""
+    asked = pipeline.direct_prompts(_docs(spark, sf_dir), REPORTED)
+    return asked.select("sample_id", TX.prompt_block(F.col("prompt"), "Source documents").alias("block"))
+
+
+@query(ORACLES["duplicate_groups"].replace("SELECT label, vec_id, leader AS representative, vec_id = leader AS is_representative FROM sized WHERE n > 1", """
+SELECT label, vec_id % 3 AS community, vec_id, row_number() OVER (PARTITION BY label, vec_id % 3, CASE WHEN n > 1 THEN leader ELSE -vec_id - 1 END
+  ORDER BY (n > 1 AND vec_id = leader) DESC, vec_id) = 1 AS kept FROM sized"""))
+def community_dedup(spark, sf_dir):
+    """Communities vec_id mod 3: of each duplicate group one stays."""
+    v = _vectors(spark, sf_dir)
+    groups = dedup.duplicate_groups(v, "label", "vec_id", [], "embedding", 0.3)
+    members = v.select("label", (F.col("vec_id") % 3).alias("community"), "vec_id")
+    return dedup.community_representatives(members, groups, ["label", "community"], "vec_id", "vec_id").select("label", "community", "vec_id", "kept")
+
+
 # ------------------------------------------------------------------ pipelines
 
 
@@ -514,6 +563,17 @@ def e2e_summary(spark, sf_dir):
     return pipeline.score(run.summaries, table(spark, sf_dir, "ref_texts"))
 
 
+@query()
+def trace_relations(spark, sf_dir):
+    """Rows of each provenance relation of a run."""
+    relations = trace.trace(pipeline.run(_docs(spark, sf_dir), REPORTED))
+    counted = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("relation"), "rows") for name, df in sorted(relations.items())]
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 @query()
 def summary_graph_dot(spark, sf_dir):
     relations = trace.trace(pipeline.run(_docs(spark, sf_dir), REPORTED))

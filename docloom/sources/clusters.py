@@ -72,6 +72,12 @@ def read_vims(spark: SparkSession, root: str, limit: int | None = None) -> tuple
     return _finish(docs, refs, limit)
 
 
+def split_documents(joined: Column) -> Column:
+    """The parts between separators that aren't blank; without any, the whole."""
+    parts = F.filter(F.transform(F.split(joined, NEWS_SEPARATOR), strip), lambda p: p != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(joined))
+
+
 def read_multi_news(rows: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows``: document(s) as a string with separators or an array, summary or
     summaries.  The sample is the row's number; no row is dropped."""
@@ -90,8 +96,7 @@ def read_multi_news(rows: DataFrame, limit: int | None = None) -> tuple[DataFram
     # numbered without a global sort: place of the partition, place within it
     numbered = rows.withColumn("_d", pick("document", "documents")).withColumn("_s", pick("summary", "summaries")).withColumn("sample_id", F.monotonically_increasing_id().cast("string"))
     single = [n for n in ("document", "documents") if n in kinds and not kinds[n].startswith("array")]
-    parts = F.filter(F.transform(F.split(F.element_at("_d", 1), NEWS_SEPARATOR), strip), lambda p: p != "")
-    texts = F.when(F.size("_d") == 0, F.col("_d")).when(F.size(parts) > 0, parts).otherwise(F.col("_d")) if single else F.col("_d")
+    texts = F.when(F.size("_d") == 0, F.col("_d")).otherwise(split_documents(F.get("_d", F.lit(0)))) if single else F.col("_d")
     docs = numbered.select("sample_id", F.posexplode(texts).alias("doc_ord", "text"))
     docs = docs.select("sample_id", "doc_ord", F.concat("sample_id", F.lit("_"), F.col("doc_ord").cast("string")).alias("document_id"), F.lit("").alias("title"), F.lit("").alias("source"), "text", F.lit("en").alias("lang"), F.lit("multi_news").alias("dataset"))
     refs = numbered.select("sample_id", F.posexplode(F.filter("_s", lambda s: strip(s) != "")).alias("ref_idx", "text"))

@@ -254,7 +254,10 @@ def _segments(text: str) -> list[tuple[int, int]]:
         a, b = lines[i + 1]
         while text[a].isspace():
             a += 1
-        if solid[i] or solid[i + 1] or text.count("\n", lines[i][1], lines[i + 1][0]) != 1 or _LIST_RE.match(text, a, b):
+        if solid[i] or solid[i + 1] or text.count("\n", lines[i][1], lines[i + 1][0]) != 1:
+            continue
+        inside = text.rfind("(", lines[i][0], lines[i][1]) > text.rfind(")", lines[i][0], lines[i][1])
+        if _LIST_RE.match(text, a, b) and not inside:
             continue
         first = text[a:b].split(None, 1)[0]
         room[i] = sizes[i] + 1 + len(first)

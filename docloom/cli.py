@@ -8,9 +8,10 @@ from dataclasses import fields
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from docloom.config import PipelineConfig, config_from_env, read_dotenv
+from docloom.config import PipelineConfig, config_from_env, read_dotenv, weight_grid
 from docloom.functions.vectors import embedder
 from docloom.operators import evaluate
+from docloom.operators.evaluate import union_results
 from docloom.plans import pipeline
 from docloom.plans.providers import summarizer
 from docloom.sources import tables
@@ -34,6 +35,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--limit", type=int, default=None)
     run.add_argument("--output", required=True)
     run.add_argument("--direct", action="store_true", help="one prompt for each sample instead of the graph")
+    run.add_argument("--grid", action="store_true", help="all 51 settings of the edge weights")
+    run.add_argument("--aggregate-output", default=None, help="also write the means by setting")
+    run.add_argument("--failures", default=None, help="where rows with an error of the summariser go")
     run.add_argument("--llm", default="dry_run", choices=("dry_run", "openai_compatible"))
     run.add_argument("--llm-model", default="")
     run.add_argument("--llm-base-url", default="")
@@ -63,13 +67,23 @@ def main(argv: list[str] | None = None) -> int:
     config = config_from_env(env, **{f.name: getattr(args, f.name) for f in fields(PipelineConfig)})
     docs, refs = read_samples(spark, args.dataset, args.data_root, args.limit)
     llm = summarizer(args.llm) if args.llm == "dry_run" else summarizer(args.llm, model=args.llm_model, base_url=args.llm_base_url, api_key=env.get("OPENAI_API_KEY", ""))
+    def labelled(rows, mode, used):
+        settings = {f.name: getattr(used, f.name) for f in fields(PipelineConfig)} | {"gamma": used.weights().gamma, "llm": args.llm, "llm_model": args.llm_model}
+        return rows.withColumns({"run_mode": F.lit(mode), **{k: F.lit(v) for k, v in settings.items() if v is not None}}).withColumnRenamed("rougel", "rougeL")
+
+    failed = []
     if args.direct:
-        out = pipeline.score(pipeline.direct(docs, config, llm), refs, "default").withColumn("run_mode", F.lit("direct"))
+        out = labelled(pipeline.score(pipeline.direct(docs, config, llm), refs, "default"), "direct", config)
     else:
-        out = pipeline.score(pipeline.run(docs, config, embedder("hash"), llm).summaries, refs).withColumn("run_mode", F.lit("graph"))
-    settings = {f.name: getattr(config, f.name) for f in fields(PipelineConfig)} | {"gamma": config.weights().gamma, "llm": args.llm, "llm_model": args.llm_model}
-    out = out.withColumns({k: F.lit(v) for k, v in settings.items() if k not in out.columns and v is not None})
-    tables.write_csv(out.withColumnRenamed("rougel", "rougeL"), args.output)
+        weights = weight_grid() if args.grid else [config.weights()]
+        runs = list(pipeline.run_grid(docs, weights, config, embedder("hash"), llm))
+        out = union_results([labelled(pipeline.score(r.summaries, refs), "graph", r.config) for r in runs])
+        failed = [x.where("error is not null") for r in runs for x in (r.community_summaries, r.merges)]
+    tables.write_csv(out, args.output)
+    if args.failures and failed:
+        tables.write_json_lines(union_results(failed), args.failures)
+    if args.aggregate_output:
+        tables.write_csv(evaluate.aggregate_results(out, GROUP_COLUMNS, list(evaluate.NUMERIC_COLUMNS)), args.aggregate_output)
     return 0
 
 

@@ -7,12 +7,13 @@ loop.  Work on a text stays in its row; pairs within a sample run in blocks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.config import SUMMARY_BUDGETS, PipelineConfig
+from docloom.config import SUMMARY_BUDGETS, GraphWeights, PipelineConfig
 from docloom.functions import text as TX
 from docloom.functions.vectors import EmbeddingProvider, HashEmbedding, with_embedding
 from docloom.operators import dedup, evaluate, graph, phrases, salience, segments
@@ -100,6 +101,17 @@ def _joined(df: DataFrame, keys: list[str], order: list[str], text: str, glue: s
     return df.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["_text"]), glue).alias(text))
 
 
+@dataclass
+class Base:
+    """What doesn't depend on the edge weights: computed once for a whole grid."""
+
+    docs: DataFrame
+    chunks: DataFrame
+    phrases: DataFrame
+    groups: DataFrame | None
+    parts: DataFrame | None
+
+
 def run(docs: DataFrame, config: PipelineConfig | None = None, provider: EmbeddingProvider | None = None, summarizer: Summarizer | None = None) -> Run:
     """All relations of a run over all samples.
 
@@ -107,7 +119,21 @@ def run(docs: DataFrame, config: PipelineConfig | None = None, provider: Embeddi
     texts count as empty.  Repeated documents are separate documents of their
     sample.
     """
-    config, provider, summarizer = config or PipelineConfig(), provider or HashEmbedding(), summarizer or LeadSummarizer()
+    config, provider = config or PipelineConfig(), provider or HashEmbedding()
+    return finish(base(docs, config, provider), config, provider, summarizer)
+
+
+def run_grid(
+    docs: DataFrame, weights: list[GraphWeights], config: PipelineConfig | None = None, provider: EmbeddingProvider | None = None, summarizer: Summarizer | None = None
+) -> Iterator[Run]:
+    """One run for each setting of the weights; everything before them is shared."""
+    config, provider = config or PipelineConfig(), provider or HashEmbedding()
+    shared = base(docs, config, provider)
+    for w in weights:
+        yield finish(shared, replace(config, alpha=w.alpha, beta=w.beta), provider, summarizer)
+
+
+def base(docs: DataFrame, config: PipelineConfig, provider: EmbeddingProvider) -> Base:
     docs = prepare(docs)
     chunks = salience.chunk_support(
         make_chunks(docs, config, provider), provider, config.evidence_max_tokens, config.salience, config.pacsum_beta, config.pacsum_lambda1, config.pacsum_lambda2
@@ -125,13 +151,20 @@ def run(docs: DataFrame, config: PipelineConfig | None = None, provider: Embeddi
         groups = dedup.duplicate_groups(slim, SAMPLE, CHUNK, ["document_id", "position"], "embedding", config.dedup_threshold, shared)
         groups = written(groups, "duplicates")
 
-    edges = None
+    parts = None
     if config.use_graph:
         candidates = written(graph.candidate_edges(slim, SAMPLE, CHUNK, "document_id", "position", "embedding", config.k_neighbors), "candidates")
         idf = phrases.phrase_idf(typed, chunks, SAMPLE, CHUNK)
         similarity = phrases.phrase_similarity(typed, idf, candidates, SAMPLE, CHUNK)
         parts = graph.edge_components(candidates, slim, SAMPLE, CHUNK, "document_id", "position", "embedding", similarity, groups, config.tau)
-        edges = written(graph.weigh(parts, config.weights(), config.duplicate_edge_factor), "edges")
+        parts = written(parts, "edges")
+    return Base(docs, chunks, typed, groups, parts)
+
+
+def finish(shared: Base, config: PipelineConfig, provider: EmbeddingProvider, summarizer: Summarizer | None = None) -> Run:
+    summarizer = summarizer or LeadSummarizer()
+    docs, chunks, typed, groups = shared.docs, shared.chunks, shared.phrases, shared.groups
+    edges = graph.weigh(shared.parts, config.weights(), config.duplicate_edge_factor) if shared.parts is not None else None
     communities = written(graph.communities(chunks, edges, SAMPLE, CHUNK, config.resolution, config.seed), "communities")
 
     if groups is not None and config.community_dedup:

@@ -37,6 +37,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Remove every table that :func:`written` left in the shared folder; what
+    was built on them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """Give a scan of few input splits at least one task per core.
 

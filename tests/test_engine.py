@@ -126,3 +126,29 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     got = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
     rows = con.execute(f"select {', '.join(columns)} from ({registry.ORACLES[name]})").fetchall()
     assert got == sorted(repr(tuple(r)) for r in rows)
+
+
+def test_grid_shares_its_base(spark):
+    from docloom.config import GraphWeights
+
+    runs = list(pipeline.run_grid(small_docs(spark), [GraphWeights(0.1, 0.3, 0.6), GraphWeights(0.0, 0.0, 1.0)], SMALL))
+    assert [r.config.alpha for r in runs] == [0.1, 0.0] and runs[0].chunks is runs[1].chunks
+    assert all(r.summaries.count() == 3 for r in runs)
+
+
+def test_command_line(spark, tmp_path):
+    from docloom import cli
+
+    for c in ("cluster_1", "cluster_2"):
+        d = tmp_path / "clusters" / c
+        d.mkdir(parents=True)
+        (d / "a.body.txt").write_text("Mưa lớn ở Huế. Nước dâng 5 %. Dân rời đi.")
+        (d / f"{c}.ref1.txt").write_text("Mưa lớn. Dân rời đi.")
+    out, total = str(tmp_path / "out"), str(tmp_path / "total")
+    args = ["run", "--dataset", "vn_mds", "--data-root", str(tmp_path), "--output", out, "--aggregate-output", total, "--chunking", "simple", "--env-file", "none"]
+    assert cli.main(args) == 0
+    rows = tables.read_results(spark, [out])
+    assert rows.count() == 2 and float(rows.first()["rouge1"]) > 0
+    assert cli.main(["aggregate", out, "--output", str(tmp_path / "again")]) == 0
+    for path in (total, str(tmp_path / "again")):
+        assert tables.read_results(spark, [path]).first()["n"] == "2"

@@ -209,16 +209,17 @@ _OPEN = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "（":
 _QUOTES = frozenset("”»」』“\"›’'")
 _BRACKETS = frozenset(")）]】")
 _CLOSERS = _QUOTES | _BRACKETS
+_UNSEEN = frozenset("\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
 _MARK_RE = re.compile(r"[“”«»「」『』()（）\[\]„\"‹›【】]")
 _END_RE = re.compile(r"[.!?…。！？।]+")
-_LIST_RE = re.compile(r"(?:[-*•–—·◦▪‣]|\(?\d{1,3}[.)]|\(?(?:[A-Za-z]|[ivxIVX]{1,4})\))[ \t]+(?=\S)")
+_LIST_RE = re.compile(r"(?:[-*•–—·◦▪‣]|\(?\d{1,3}[.)]|\(?(?:[A-Za-z]|[ivxIVX]{1,4})\))[^\S\n]+(?=\S)")
 _LINE_RE = re.compile(r"[^\n]+")
 _URL_RE = re.compile(r"(?:www\.|https?://|@)|\.\w+/")
 _NUMBER_RE = re.compile(r"^\d+$")
 _INITIAL_RE = re.compile(r"^(?:[^\W\d_]\.?-?){1,3}$")
 _THAI = re.compile(r"[ก-๛]")
 _ORDINAL = re.compile(r"\d{1,3}\.$")
-_THAI_GAP = re.compile(r"(?<=[^\s\d])[ \t]+(?=[^\s\d])")
+_THAI_GAP = re.compile(r"(?<=[^\s\d])[^\S\n]+(?=[^\s\d])")
 _UNSPACED_SAID = re.compile(r"[^。！？\s“”「」]{0,24}?(?:" + "|".join(SAYING_UNSPACED.split()) + r")[^。！？：:“「]{0,12}[。！？]")
 _JA_GOES_ON = re.compile(r"と|って|など|を|は|が|に|も|の|で")
 
@@ -366,6 +367,8 @@ def _cut(text: str, a: int, b: int, model: dict, units: list[tuple[int, int]]) -
     k = 0
     for m in _END_RE.finditer(text, at, b):
         i, j = m.span()
+        while j < b and text[j] in _UNSEEN:
+            j += 1
         if j >= b:
             break
         while k < len(spans) and spans[k][1] < i:

@@ -5,7 +5,7 @@ space collapsed).  Its *tokens* are drawn from this set alike for all records:
 the hash space is cut into 64 bins, the smallest hash of each bin is a token, so
 that two records share a bin's token with a probability equal to their likeness.
 
-Each of 32 fixed orders of the bins gives one key: the prefix of the order is
+Each of 32 fixed orders of the bins (more for very large collections) gives one key: the prefix of the order is
 *extended* token by token until the combination is expected in only a few
 records, going by the tokens' frequencies over the whole collection.  A rare
 token is thus indexed (almost) on its own, frequent ones in combinations.  A
@@ -112,9 +112,13 @@ def sketches(records: DataFrame) -> DataFrame:
     return out.where("size > 0")  # texts of nothing but white space have no strings in common
 
 
-def _orders() -> np.ndarray:
+def orders_for(total: int) -> np.ndarray:
+    """The orders of bins, one for each key.  Larger collections need longer
+    combinations, which are shared less often; ten more orders for each power of
+    ten keep the chance of a miss at the threshold at about 0.2 %."""
+    n = ORDERS + round(10 * max(0.0, np.log10(max(total, 1)) - 5.3))
     rng = np.random.default_rng(20240229)
-    return np.array([np.roll(rng.permutation(BINS), 0)[:LONGEST] for _ in range(ORDERS)])
+    return np.array([rng.permutation(BINS)[:LONGEST] for _ in range(n)])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -151,7 +155,8 @@ def frequent_tokens(reps: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
 
 
 def keys_of(tokens: np.ndarray, common: np.ndarray, share: np.ndarray, total: int) -> np.ndarray:
-    """Keys [records, ORDERS]: the adaptive token combinations."""
+    """Keys [records, orders]: the adaptive token combinations."""
+    orders = orders_for(total)
     marked = tokens.astype(np.uint64) | (np.arange(BINS, dtype=np.uint64) << np.uint64(32))
     p = np.full(tokens.shape, max(FREQUENT, 1.0 / max(total, 1)))
     if len(common):
@@ -160,9 +165,9 @@ def keys_of(tokens: np.ndarray, common: np.ndarray, share: np.ndarray, total: in
     p = np.where(tokens == 0, 1.0, p)
     bits = -np.log2(p)
     need = np.log2(max(total, 2) / EXPECTED)
-    keys = np.zeros((len(tokens), ORDERS), np.uint64)
+    keys = np.zeros((len(tokens), len(orders)), np.uint64)
     with np.errstate(over="ignore"):
-        for t, order in enumerate(_orders()):
+        for t, order in enumerate(orders):
             h = np.full(len(tokens), np.uint64(t + 1) * _MULT, np.uint64)
             sum_bits = np.zeros(len(tokens))
             going = np.ones(len(tokens), bool)
@@ -186,7 +191,7 @@ def _candidates(reps: DataFrame, total: int) -> DataFrame:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
                 keys = keys_of(_matrix(part.column(3)), *held.value, total)
-                row = np.repeat(np.arange(part.num_rows), ORDERS)
+                row = np.repeat(np.arange(part.num_rows), keys.shape[1])
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)],

@@ -5,15 +5,21 @@ space collapsed).  Its *tokens* are drawn from this set alike for all records:
 the hash space is cut into 64 bins, the smallest hash of each bin is a token, so
 that two records share a bin's token with a probability equal to their likeness.
 
-Each of 32 fixed orders of the bins (more for very large collections) gives one key: the prefix of the order is
+Each of the fixed orders of the bins gives one key: the prefix of the order is
 *extended* token by token until the combination is expected in only a few
-records, going by the tokens' frequencies over the whole collection.  A rare
-token is thus indexed (almost) on its own, frequent ones in combinations.  A
-pair above the threshold shares at least one of its keys with a probability of
-over 0.998 at the threshold itself and practically always above it.
-
-Records that share a key are candidates; their 64 tokens give an estimate of the
-likeness, and what comes near the threshold is verified on the full texts.
+records, going by the tokens' frequencies over the whole collection, to three
+tokens at most.  A rare token is thus indexed (almost) on its own, frequent ones
+in combinations.  The longer a combination, the less often a pair shares it, so
+the number of orders goes by the length: a key of three tokens is taken in 44
+orders, a shorter one in the first 32.  Two records that share a key share its
+length, so both take it or neither does.  A pair above the threshold shares at
+least one of its keys with a probability of about 0.999 at the threshold itself,
+however frequent its tokens are, and practically always above it.
+
+Records that share a key are candidates, unless one bit of each token already
+tells them apart; their 64 tokens give an estimate of the likeness, and what comes near the threshold is verified on the full texts.  Where
+three tokens don't make a key rare, its group is large: the tokens of its records
+are then compared block by block.
 Copies (equal after lower-casing and collapsing) are one class from the start.
 """
 
@@ -23,21 +29,27 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.blocks import block_pairs
 from docloom.runtime import spread, written
 
 WIDTH = 8
 BINS = 64
-ORDERS = 32
-LONGEST = 7
+# Orders by the length of the key.  At the threshold (0.6, 64 tokens) a pair
+# shares none of its keys of three tokens with a probability of 0.0012 at 44
+# orders; at seven it would take over 1,000 orders to miss 0.002.
+ORDERS = (32, 32, 44)
+LONGEST = len(ORDERS)
 # A token counts as frequent from this share of the records on; so there are at
 # most BINS / FREQUENT frequent tokens (640,000, 5 MB broadcast) at any scale.
 FREQUENT = 1e-4
 EXPECTED = 0.25
 GROUP = 256  # larger groups of one key are split over tasks
+BLOCK = 2048  # rows of a large group that are compared with as many others at once
 _SPACE = re.compile(r"\s+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,13 +124,10 @@ def sketches(records: DataFrame) -> DataFrame:
     return out.where("size > 0")  # texts of nothing but white space have no strings in common
 
 
-def orders_for(total: int) -> np.ndarray:
-    """The orders of bins, one for each key.  Larger collections need longer
-    combinations, which are shared less often; ten more orders for each power of
-    ten keep the chance of a miss at the threshold at about 0.2 %."""
-    n = ORDERS + round(10 * max(0.0, np.log10(max(total, 1)) - 5.3))
+def _orders() -> np.ndarray:
+    """The orders of bins, one for each key."""
     rng = np.random.default_rng(20240229)
-    return np.array([rng.permutation(BINS)[:LONGEST] for _ in range(n)])
+    return np.array([rng.permutation(BINS)[:LONGEST] for _ in range(max(ORDERS))])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -155,8 +164,9 @@ def frequent_tokens(reps: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
 
 
 def keys_of(tokens: np.ndarray, common: np.ndarray, share: np.ndarray, total: int) -> np.ndarray:
-    """Keys [records, orders]: the adaptive token combinations."""
-    orders = orders_for(total)
+    """Keys [records, orders]: the adaptive token combinations; 0 where the
+    combination is so short that the orders before suffice."""
+    orders = _orders()
     marked = tokens.astype(np.uint64) | (np.arange(BINS, dtype=np.uint64) << np.uint64(32))
     p = np.full(tokens.shape, max(FREQUENT, 1.0 / max(total, 1)))
     if len(common):
@@ -171,18 +181,26 @@ def keys_of(tokens: np.ndarray, common: np.ndarray, share: np.ndarray, total: in
             h = np.full(len(tokens), np.uint64(t + 1) * _MULT, np.uint64)
             sum_bits = np.zeros(len(tokens))
             going = np.ones(len(tokens), bool)
-            for b in order:
+            most = np.zeros(len(tokens), np.int64)
+            for b, n in zip(order, ORDERS, strict=True):
+                most = np.where(going, n, most)
                 step = (h ^ marked[:, b]) * np.uint64(0xBF58476D1CE4E5B9)
                 step ^= step >> np.uint64(29)
                 h = np.where(going, step * _MULT, h)
                 sum_bits += np.where(going, bits[:, b], 0)
                 going &= sum_bits < need
-            keys[:, t] = h
+            keys[:, t] = np.where(t < most, np.maximum(h, np.uint64(1)), np.uint64(0))
     return keys
 
 
-def _candidates(reps: DataFrame, total: int) -> DataFrame:
-    """kind, a, b (a < b): representatives that share a key."""
+def _least(threshold: float) -> int:
+    """Equal tokens that a pair at the threshold practically always has."""
+    return int(np.floor(BINS * threshold - 3.6 * np.sqrt(BINS * threshold * (1 - threshold))))
+
+
+def _candidates(reps: DataFrame, total: int, threshold: float) -> DataFrame:
+    """kind, a, b (a < b): representatives that share a key; those of a large
+    group only if their tokens agree often enough."""
     common, share = frequent_tokens(reps, total)
     held = reps.sparkSession.sparkContext.broadcast((common, share))
 
@@ -190,16 +208,21 @@ def _candidates(reps: DataFrame, total: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                keys = keys_of(_matrix(part.column(3)), *held.value, total)
-                row = np.repeat(np.arange(part.num_rows), keys.shape[1])
+                tokens = _matrix(part.column(3))
+                keys = keys_of(tokens, *held.value, total)
+                bits = np.packbits((tokens & 1).astype(np.uint8), axis=1).view(np.int64).ravel()
+                row, order = np.nonzero(keys)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)],
-                    names=["key", "kind", "id", "size"],
+                    [pa.array(keys[row, order].view(np.int64)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(bits[row])],
+                    names=["key", "kind", "id", "size", "bits"],
                 )
 
-    kinds = "key long, kind string, id long, size int"
+    kinds = "key long, kind string, id long, size int, bits long"
     postings = reps.select("kind", "id", "size", "tokens").mapInArrow(post, kinds)
+    # the lowest bits agree in all bins of equal tokens and in half of the others
+    alike = (1 + threshold) / 2
+    least_bits = int(np.floor(BINS * alike - 4 * np.sqrt(BINS * alike * (1 - alike))))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (kind, key); a group may span batches."""
@@ -208,7 +231,7 @@ def _candidates(reps: DataFrame, total: int) -> DataFrame:
         def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.asarray(table["key"])
             kind = table["kind"].to_pandas().to_numpy()
-            ids, size = np.asarray(table["id"]), np.asarray(table["size"])
+            ids, size, bits = np.asarray(table["id"]), np.asarray(table["size"]), np.asarray(table["bits"])
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
             start = np.nonzero(new)[0]
@@ -220,6 +243,7 @@ def _candidates(reps: DataFrame, total: int) -> DataFrame:
                 i, j = np.triu_indices(n, 1)
                 x, y = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
                 fits = np.minimum(size[x], size[y]) >= 0.6 * np.maximum(size[x], size[y])
+                fits &= BINS - np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) >= least_bits
                 x, y = x[fits], y[fits]
                 out_a.append(np.minimum(ids[x], ids[y]))
                 out_b.append(np.maximum(ids[x], ids[y]))
@@ -254,20 +278,49 @@ def _candidates(reps: DataFrame, total: int) -> DataFrame:
     hot = found.where("hot").select("kind", F.col("a").alias("key")).distinct()
     plain = found.where("not hot").select("kind", "a", "b")
     if not hot.isEmpty():
-        # groups of one key larger than GROUP: a salted self-join, no task holds a group
-        parts = 32
-        big = written(postings.join(hot, ["kind", "key"], "left_semi"), "neardup-hot")
-        one = big.withColumn("salt", F.pmod(F.hash("id"), F.lit(parts)))
-        two = big.select("kind", "key", F.col("id").alias("id2"), F.col("size").alias("size2")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        near = F.least("size", "size2") >= 0.6 * F.greatest("size", "size2")
-        more = one.join(two, ["kind", "key", "salt"]).where((F.col("id") < F.col("id2")) & near)
-        plain = plain.unionByName(more.select("kind", F.col("id").alias("a"), F.col("id2").alias("b")))
+        # groups of one key larger than GROUP: their tokens in blocks, no task holds a group
+        least = _least(threshold)
+
+        def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+            x, y = _matrix(pa.array(left["tokens"])), _matrix(pa.array(right["tokens"]))
+            keys_x, keys_y = keys_of(x, *held.value, total), keys_of(y, *held.value, total)
+            ids_x, ids_y = left["id"].to_numpy(), right["id"].to_numpy()
+            size_x, size_y = left["size"].to_numpy(), right["size"].to_numpy()
+            this = left["key"].to_numpy().view(np.uint64)[:1]
+            columns = np.ascontiguousarray(y.T)
+            out_a, out_b = [], []
+            for i in range(0, len(x), 128):
+                equal = np.zeros((len(x[i : i + 128]), len(y)), np.uint8)
+                for b in range(BINS):
+                    equal += x[i : i + 128, b, None] == columns[b]
+                near = np.minimum(size_x[i : i + 128, None], size_y) >= 0.6 * np.maximum(size_x[i : i + 128, None], size_y)
+                m, n = np.nonzero((equal >= least) & near)
+                m += i
+                if same:
+                    m, n = m[m < n], n[m < n]
+                # a pair of several groups is given by that of its first key only
+                first = np.zeros(len(m), bool)
+                for j in range(0, len(m), 50_000):
+                    k = keys_x[m[j : j + 50_000]]
+                    shared = (k == keys_y[n[j : j + 50_000]]) & (k != 0)
+                    first[j : j + 50_000] = k[np.arange(len(k)), shared.argmax(1)] == this
+                m, n = m[first], n[first]
+                out_a.append(np.minimum(ids_x[m], ids_y[n]))
+                out_b.append(np.maximum(ids_x[m], ids_y[n]))
+            if not out_a:
+                return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+        big = postings.join(hot, ["kind", "key"], "left_semi").select("kind", "key", "id", "size")
+        big = written(big.join(reps.select("kind", "id", "tokens"), ["kind", "id"]), "neardup-hot")
+        more = block_pairs(big, ["kind", "key"], "id", ["size", "tokens"], compare, "a long, b long", BLOCK)
+        plain = plain.unionByName(more.select("kind", "a", "b"))
     return plain.distinct()
 
 
 def _agreement(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose tokens agree about as often as the threshold asks for."""
-    least = int(np.floor(BINS * threshold - 3.6 * np.sqrt(BINS * threshold * (1 - threshold))))
+    least = _least(threshold)
     slim = reps.select("kind", "id", "tokens")
     joined = (
         pairs.join(slim.select("kind", F.col("id").alias("a"), F.col("tokens").alias("ta")), ["kind", "a"])
@@ -300,7 +353,7 @@ def similar(records: DataFrame, threshold: float = 0.6, min_length: int = 300) -
     reps = written(sketches(rows).groupBy("kind", "class").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "neardup-reps")
     members = rows.select("kind", "class", "id").distinct().join(reps.select("kind", "class", F.col("id").alias("rep")), ["kind", "class"])
     total = reps.count()
-    close = written(_agreement(reps, _candidates(reps, total), threshold), "neardup-close")
+    close = written(_agreement(reps, _candidates(reps, total, threshold), threshold), "neardup-close")
     wanted = close.select("kind", F.col("a").alias("id")).unionByName(close.select("kind", F.col("b").alias("id"))).distinct()
     texts = (
         records.where(F.length("text") >= min_length)

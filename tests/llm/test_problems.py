@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,45 @@ def test_hot_groups_lose_nothing(spark, monkeypatch):
     assert neardup.similar(records.limit(0))[1].count() == 0
 
 
+def test_frequent_tokens_share_keys():
+    """A third of a million records: every pair of the group is at the threshold."""
+    rng, total, n = np.random.default_rng(5), 1_000_000, 400
+    base = rng.integers(1, 2**32, neardup.BINS).astype(np.uint32)
+    own = rng.integers(1, 2**32, (n, neardup.BINS)).astype(np.uint32)
+    kept = 0.6**0.5
+    tokens = np.where(rng.random((n, neardup.BINS)) < kept, base, own)
+    common = base.astype(np.uint64) | (np.arange(neardup.BINS, dtype=np.uint64) << np.uint64(32))
+    keys = neardup.keys_of(tokens, common, np.full(neardup.BINS, kept / 3), total)
+    found = np.zeros((n, n), bool)
+    for t in range(keys.shape[1]):
+        found |= (keys[:, None, t] == keys[None, :, t]) & (keys[:, None, t] != 0)
+    missed = 1 - found[np.triu_indices(n, 1)].mean()
+    print("missed", missed)
+    assert missed < 0.002
+
+
+@pytest.mark.parametrize("group", [256, 8])
+def test_story_of_a_third_of_the_rows(spark, monkeypatch, group):
+    rng = random.Random(7)
+    base = [prose(rng, 5) for _ in range(40)]
+    texts = {}
+    for i in range(360):
+        if i % 3:
+            texts[i] = prose(rng, 60) + "".join(rng.choices("abcdefghijklmnop ", k=900))
+        else:
+            texts[i] = " ".join(prose(rng, 5) if rng.random() < 0.14 else part for part in base)
+    records = spark.createDataFrame([("document", i, t) for i, t in texts.items()], "kind string, id long, text string")
+    monkeypatch.setattr(neardup, "GROUP", group)
+    monkeypatch.setattr(neardup, "BLOCK", 50, raising=False)
+    got = {(r["a"], r["b"]) for r in neardup.similar(records)[1].collect()}
+    sets = {i: neardup.shingle_hashes(neardup.normal(t)) for i, t in texts.items()}
+    true = {(a, b): x for a in sets for b in sets if a < b and a % 3 == b % 3 == 0 and (x := neardup.likeness(sets[a], sets[b])) >= 0.6}
+    assert sum(x < 0.75 for x in true.values()) > 2000
+    missed = set(true) - got
+    print("missed", len(missed), "of", len(true))
+    assert len(missed) <= 0.002 * len(true) and got <= set(true)
+
+
 # -------------------------------------------------------------- 4: splitting
 
 

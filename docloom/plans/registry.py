@@ -341,9 +341,19 @@ named AS (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(raw,
 
 @query(f"WITH {_CAPS} SELECT doc_id, phrase, count(*) AS n FROM named WHERE phrase <> '' GROUP BY doc_id, phrase")
 def capitalised_phrases(spark, sf_dir):
-    """The generic recogniser on all texts in plain ASCII (SQL's word class is ASCII)."""
-    d = _docs(spark, sf_dir).where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    out = phrases.capitalised_phrases(d, ["doc_id"]).withColumn("phrase", TX.normalize_phrase(F.col("phrase"))).where("phrase <> ''")
+    """The part of ``capitalised_phrases_all`` that SQL can check: texts in plain
+    ASCII (SQL's word class is ASCII)."""
+    return _capitalised(_docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]")))
+
+
+@query()
+def capitalised_phrases_all(spark, sf_dir):
+    """The generic recogniser on all texts."""
+    return _capitalised(_docs(spark, sf_dir))
+
+
+def _capitalised(d: DataFrame) -> DataFrame:
+    out = phrases.capitalised_phrases(d.where("text is not null"), ["doc_id"]).withColumn("phrase", TX.normalize_phrase(F.col("phrase"))).where("phrase <> ''")
     return out.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
 

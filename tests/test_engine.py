@@ -128,6 +128,27 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert got == sorted(repr(tuple(r)) for r in rows)
 
 
+def test_capitalised_phrases_of_all_texts(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    texts = {
+        1: "Then Tower Bridge rose over London. The end of It",
+        2: "Ông Nguyễn Văn An đến Đà Nẵng và Huế.",
+        3: "“Électricité de France” said the Élysée Palace, Paris",
+        4: "東京 Tokyo Tower は高い",
+        5: "nothing here — at all",
+        6: None,
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["phrase"]): r["n"] for r in registry.QUERIES["capitalised_phrases_all"](spark, str(tmp_path)).collect()}
+    pattern = r"\b(?:[A-Z\u00c0-\u1ef4][\w\u00c0-\u1ef9.-]+(?:\s+|$)){1,5}"
+    true = Counter((i, " ".join(m.split()).lower()) for i, t in texts.items() if t for m in re.findall(pattern, t))
+    assert got == dict(true) and {i for i, _ in got} == {1, 2, 3, 4}
+    ascii_only = {(r["doc_id"], r["phrase"]): r["n"] for r in registry.QUERIES["capitalised_phrases"](spark, str(tmp_path)).collect()}
+    assert ascii_only == {k: n for k, n in got.items() if k[0] == 1}
+
+
 def test_grid_shares_its_base(spark):
     from docloom.config import GraphWeights
 

@@ -340,8 +340,9 @@ def _agreement(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
 def similar(records: DataFrame, threshold: float = 0.6, min_length: int = 300) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``.
 
-    ``members``: kind, id, rep: the class of copies of every record of at least
-    ``min_length`` code points, named by its smallest id.
+    ``members``: kind, id, rep, exact: the class of copies of every record of at
+    least ``min_length`` code points, named by its smallest id; ``exact`` is a
+    digest of the text as stored.
     ``links``: kind, a, b, likeness: all pairs of representatives whose likeness
     is at least ``threshold`` (verified on the whole texts).
 
@@ -351,7 +352,8 @@ def similar(records: DataFrame, threshold: float = 0.6, min_length: int = 300) -
     """
     rows = classed(records, min_length)
     reps = written(sketches(rows).groupBy("kind", "class").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "neardup-reps")
-    members = rows.select("kind", "class", "id").distinct().join(reps.select("kind", "class", F.col("id").alias("rep")), ["kind", "class"])
+    stored = rows.groupBy("kind", "class", "id").agg(F.min(F.unhex(F.md5("text"))).alias("exact"))
+    members = stored.join(reps.select("kind", "class", F.col("id").alias("rep")), ["kind", "class"])
     total = reps.count()
     close = written(_agreement(reps, _candidates(reps, total, threshold), threshold), "neardup-close")
     wanted = close.select("kind", F.col("a").alias("id")).unionByName(close.select("kind", F.col("b").alias("id"))).distinct()
@@ -383,21 +385,23 @@ def similar(records: DataFrame, threshold: float = 0.6, min_length: int = 300) -
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(keep)) for i in range(3)], pa.array(scores[keep])], names=["kind", "a", "b", "likeness"])
 
     links = written(both.mapInArrow(verify, "kind string, a long, b long, likeness double"), "neardup-links")
-    return members.select("kind", "id", "rep"), links
+    return members.select("kind", "id", "rep", "exact"), links
 
 
-def all_pairs(members: DataFrame, links: DataFrame, expand: int = 100) -> DataFrame:
+def all_pairs(members: DataFrame, links: DataFrame, expand: int = 100, full_links: bool = False) -> DataFrame:
     """kind, id_a, id_b (id_a < id_b) with the copies written out.
 
-    Classes of more than ``expand`` copies aren't multiplied out: each of their
-    copies is paired with its representative only, and the representative
-    stands for the class in links to other texts.  Nothing is lost: the members
-    of such a class are equal.
+    Only of more than ``expand`` copies equal byte for byte the pairs among
+    themselves aren't multiplied out: each is paired with the smallest id.  That
+    one also stands for them in links to other texts, unless ``full_links``.
+    Copies stored differently are written out in full.
     """
+    same = ["kind", "rep", "exact"]
     members = written(members, "neardup-members")
-    size = members.groupBy("kind", "rep").agg(F.count("*").alias("n"))
-    members = members.join(size, ["kind", "rep"])
-    shown = members.where((F.col("n") <= expand) | (F.col("id") == F.col("rep"))).select("kind", "rep", "id")
+    size = members.groupBy(*same).agg(F.count("*").alias("n"), F.min("id").alias("head"))
+    members = members.join(size, same)
+    shown = members if full_links else members.where((F.col("n") <= expand) | (F.col("id") == F.col("head")))
+    shown = shown.select("kind", "rep", "id")
     across = (
         links.select("kind", F.col("a").alias("rep"), "b")
         .join(shown, ["kind", "rep"])
@@ -405,10 +409,14 @@ def all_pairs(members: DataFrame, links: DataFrame, expand: int = 100) -> DataFr
         .join(shown, ["kind", "rep"])
         .select("kind", "x", F.col("id").alias("y"))
     )
-    many = members.where((F.col("n") > 1) & (F.col("n") <= expand)).select("kind", "rep", "id")
-    inside = many.select("kind", "rep", F.col("id").alias("x")).join(many.select("kind", "rep", F.col("id").alias("y")), ["kind", "rep"]).where("x < y")
-    star = members.where((F.col("n") > expand) & (F.col("id") != F.col("rep"))).select("kind", F.col("rep").alias("x"), F.col("id").alias("y"))
-    out = across.unionByName(inside.select("kind", "x", "y")).unionByName(star)
+    ids = members.select(*same, "id")
+    # differently stored copies: by pairs of forms, so that equal ones never meet
+    forms = size.select(*same).join(size.select("kind", "rep", F.col("exact").alias("other")), ["kind", "rep"]).where("exact < other")
+    varied = forms.join(ids.withColumnRenamed("id", "x"), same).join(ids.withColumnRenamed("exact", "other").withColumnRenamed("id", "y"), ["kind", "rep", "other"])
+    many = members.where((F.col("n") > 1) & (F.col("n") <= expand)).select(*same, "id")
+    inside = many.withColumnRenamed("id", "x").join(many.withColumnRenamed("id", "y"), same).where("x < y").select("kind", "x", "y").unionByName(varied.select("kind", "x", "y"))
+    star = members.where((F.col("n") > expand) & (F.col("id") != F.col("head"))).select("kind", F.col("head").alias("x"), F.col("id").alias("y"))
+    out = across.unionByName(inside).unionByName(star)
     out = out.select(F.col("kind").alias("record_kind"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return out.where("id_a < id_b").distinct()
 

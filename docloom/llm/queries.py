@@ -44,7 +44,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, links = neardup.similar(_records(spark, sf_dir))
-    return neardup.all_pairs(members, links)
+    return neardup.all_pairs(members, links, full_links=True)
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

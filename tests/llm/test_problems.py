@@ -213,6 +213,16 @@ def test_story_of_a_third_of_the_rows(spark, monkeypatch, group):
     assert len(missed) <= 0.002 * len(true) and got <= set(true)
 
 
+def test_only_exact_copies_have_the_short_form(spark):
+    text = prose(random.Random(4), 90)
+    near = text.rsplit(" ", 4)[0]
+    rows = [("document", i, text) for i in (1, 2, 3)] + [("document", i, text.upper()) for i in (4, 5)] + [("document", 6, near)]
+    records = spark.createDataFrame(rows, "kind string, id long, text string")
+    members, links = neardup.similar(records)
+    got = {(r["id_a"], r["id_b"]) for r in neardup.all_pairs(members, links, 2, full_links=True).collect()}
+    assert got == {(a, b) for a in range(1, 7) for b in range(a + 1, 7)} - {(2, 3)}
+
+
 # -------------------------------------------------------------- 4: splitting
 
 

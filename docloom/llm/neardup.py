@@ -2,97 +2,123 @@
 
 A record is the set of its strings of eight code points (lower case, white
 space collapsed).  Its *tokens* are drawn from this set alike for all records:
-the hash space is cut into 64 bins, the smallest hash of each bin is a token, so
-that two records share a bin's token with a probability equal to their likeness.
-
-Each of the fixed orders of the bins gives one key: the prefix of the order is
-*extended* token by token until the combination is expected in only a few
-records, going by the tokens' frequencies over the whole collection, to three
-tokens at most.  A rare token is thus indexed (almost) on its own, frequent ones
-in combinations.  The longer a combination, the less often a pair shares it, so
-the number of orders goes by the length: a key of three tokens is taken in 44
-orders, a shorter one in the first 32.  Two records that share a key share its
-length, so both take it or neither does.  A pair above the threshold shares at
-least one of its keys with a probability of about 0.999 at the threshold itself,
-however frequent its tokens are, and practically always above it.
-
-Records that share a key are candidates, unless one bit of each token already
-tells them apart; their 64 tokens give an estimate of the likeness, and what comes near the threshold is verified on the full texts.  Where
-three tokens don't make a key rare, its group is large: the tokens of its records
-are then compared block by block.
+the hash space is cut into 64 bins and the smallest hash of each bin gives a
+token, so that two records share a bin's token with a probability equal to their
+likeness.  How many records have a token is counted over the whole collection.
+
+Prefixes are taken along fixed orders of the bins and *extended* token by token
+until the combination is expected in a few records only, by the frequency
+classes of the record's own tokens: a rare token is indexed on its own, frequent
+ones in combinations of two, three or four.  A combination of k tokens is shared
+with probability likeness ** k, so each record takes as many orders as let a
+pair at the threshold miss all of its keys with probability ``MISS``, supposing
+that the tokens it shares are its most frequent ones (an edit leaves rare tokens
+that nobody shares).  Two records that share a key agree on its length, and the
+one that takes fewer orders is safe by itself, so the bound holds for every
+pair, however frequent the tokens are.
+
+Records that share a key are compared by two bits of each token at once; what
+comes near the threshold is verified on the whole texts.  Keys of very many
+records are found beforehand (by a bounded sample, for planning only) and their
+groups cut into blocks, any two of which meet in some task.
 Copies (equal after lower-casing and collapsing) are one class from the start.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.blocks import block_pairs
 from docloom.runtime import spread, written
 
 WIDTH = 8
 BINS = 64
-# Orders by the length of the key.  At the threshold (0.6, 64 tokens) a pair
-# shares none of its keys of three tokens with a probability of 0.0012 at 44
-# orders; at seven it would take over 1,000 orders to miss 0.002.
-ORDERS = (32, 32, 44)
-LONGEST = len(ORDERS)
-# A token counts as frequent from this share of the records on; so there are at
-# most BINS / FREQUENT frequent tokens (640,000, 5 MB broadcast) at any scale.
-FREQUENT = 1e-4
-EXPECTED = 0.25
-GROUP = 256  # larger groups of one key are split over tasks
-BLOCK = 2048  # rows of a large group that are compared with as many others at once
-_SPACE = re.compile(r"\s+")
+TOKENS = 1 << 16  # values of a token
+MISS = 2e-3  # a pair exactly at the threshold shares no key with about this probability
+EXPECTED = 64  # a combination is long enough when so few records are expected to share it
+LONGEST = 4
+HOT = 4096  # groups of one key above this are cut into blocks
+BLOCK = 2048  # rows of such a block
+SAMPLE = 1 << 18  # records (an eighth of all at most) that show which keys are hot
+POSTINGS = 1_000_000  # keys a task sorts, about
+FILTER_BITS = 1 << 25  # of the filter that keeps texts without a candidate out of the shuffle
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_POSTING = np.dtype([("key", "<u8"), ("id", "<i8"), ("low", "<u8"), ("high", "<u8"), ("kind", "u1"), ("side", "u1")])
+
+
+# ------------------------------------------------------------------- sketches
+
+
+@lru_cache(1)
+def _lower() -> np.ndarray:
+    """Code point -> its small letter; a space for white space of any kind."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x20000):
+        small = chr(c).lower()
+        if len(small) == 1:
+            table[c] = 32 if small.isspace() else ord(small)
+    return table
+
+
+def normal_codes(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, lower-cased with white space collapsed, one
+    after the other, and the length of each."""
+    lengths = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    text = bytes(memoryview(column.buffers()[2])[offsets[0] : offsets[-1]]).decode("utf-8", "surrogatepass") if lengths.sum() else ""
+    if "İ" in text or "Σ" in text:  # letters whose small form has another length or depends on the place
+        texts = [t.lower() for t in column.to_pylist()]
+        text, lengths = "".join(texts), np.array([len(t) for t in texts])
+    codes = _lower()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    blank = codes == 32
+    again = np.zeros(len(codes), bool)
+    again[1:] = blank[1:] & blank[:-1]
+    some = lengths > 0
+    starts = (np.cumsum(lengths) - lengths)[some]
+    again[starts] = False
+    if again.any():
+        lengths = lengths.copy()
+        lengths[some] -= np.add.reduceat(again, starts)
+        codes = codes[~again]
+    return codes, lengths
 
 
 def normal(text: str) -> str:
-    return _SPACE.sub(" ", text.lower())
+    return normal_codes(pa.array([text], pa.string()))[0].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all strings of ``width`` code points of
-    an already normalised text; none where it is shorter."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - width + 1
-    if n < 1:
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all strings of ``WIDTH`` code points, by doubling."""
+    if len(codes) < WIDTH:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for j in range(width):
-            h = h * _MULT + codes[j : j + n] + np.uint64(11)
+        h, power, size = codes.astype(np.uint64) + np.uint64(11), _MULT, 1
+        while size < WIDTH:
+            g = h[:-size] * power
+            g += h[size:]
+            h, power, size = g, power * power, size * 2
         h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h *= _MIX
         h ^= h >> np.uint64(29)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-    h.sort()
-    keep = np.ones(n, bool)
-    np.not_equal(h[1:], h[:-1], out=keep[1:])
-    return h[keep]
+    return h
 
 
-_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
-def tokens_of(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hash of each bin as 32 bits; 0 for an empty bin."""
-    if not len(hashes):
-        return np.zeros(BINS, np.uint32)
-    at = np.searchsorted(hashes, _EDGES)
-    inside = at < len(hashes)
-    first = hashes[np.minimum(at, len(hashes) - 1)]
-    ok = inside & ((first >> np.uint64(58)) == np.arange(BINS, dtype=np.uint64))
-    token = ((first >> np.uint64(26)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return np.where(ok, np.maximum(token, 1), 0).astype(np.uint32)
+def shingle_hashes(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the strings of a text; none where it is shorter."""
+    return _distinct(_hashes(normal_codes(pa.array([text], pa.string()))[0]))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -101,269 +127,387 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common / union if union else 0.0
 
 
-def classed(records: DataFrame, min_length: int) -> DataFrame:
-    """kind, id, class (digest of the lower-cased text with white space collapsed), text."""
-    kept = records.where((F.length("text") >= min_length) & F.col("id").isNotNull())
-    same = F.unhex(F.md5(F.regexp_replace(F.lower("text"), r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+", " ")))
-    return kept.select("kind", F.col("id").cast("long").alias("id"), same.alias("class"), "text")
-
-
-def sketches(records: DataFrame) -> DataFrame:
-    """kind, id, class, size, tokens of classed records."""
+def tokens_of(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Tokens [texts, BINS].  A bin without a hash takes over the token of the
+    next one that has some, altered by the distance; a text without any string
+    has zeros."""
+    n, none = len(lengths), np.uint32(0xFFFFFFFF)
+    least = np.full(n * BINS, none, np.uint32)
+    h = _hashes(codes)
+    at = np.repeat(np.arange(n, dtype=np.int64) * BINS, lengths)[: len(h)]
+    at += (h >> np.uint64(58)).astype(np.int64)
+    value = (h >> np.uint64(26)).astype(np.uint32)
+    ends = np.cumsum(lengths)
+    for back in range(1, WIDTH):  # strings over the border of two texts
+        over = ends - back
+        value[over[(over >= ends - lengths) & (over < len(value))]] = none
+    np.minimum.at(least, at, value)
+    least = least.reshape(n, BINS)
+    tokens, empty = (least & np.uint32(TOKENS - 1)).astype(np.uint16), least == none
+    tokens[empty] = 0
+    todo = np.nonzero(empty.any(1) & ~empty.all(1))[0]
+    if len(todo):
+        place = np.arange(2 * BINS)
+        held = np.where(np.tile(empty[todo], 2), 2 * BINS, place)
+        after = np.minimum.accumulate(held[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+        distance = after - place[:BINS]
+        tokens[todo] = (np.take_along_axis(tokens[todo], after % BINS, 1).astype(np.int64) + distance * 40503) % TOKENS
+    return tokens
+
+
+def sketches(records: DataFrame, min_length: int) -> DataFrame:
+    """kind, id, exact (digest of the text as stored), c1, c2 (digest of the
+    normalised text), tokens of the records of at least ``min_length``."""
+    import xxhash
+
+    kept = records.where((F.length("text") >= min_length) & F.col("id").isNotNull() & F.col("kind").isNotNull())
+    kept = spread(kept.select("kind", F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("exact"), "text"))
+    names = ["kind", "id", "exact", "c1", "c2", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, tokens = [], []
-            for t in batch.column(3).to_pylist():
-                h = shingle_hashes(normal(t))
-                sizes.append(len(h))
-                tokens.append(tokens_of(h).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(tokens, pa.binary())], names=["kind", "id", "class", "size", "tokens"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                codes, lengths = normal_codes(part.column(3).cast(pa.string()))
+                ends = np.cumsum(lengths).tolist()
+                digests = b"".join(xxhash.xxh3_128_digest(codes[b - n : b]) for b, n in zip(ends, lengths.tolist(), strict=True))
+                cls = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                tokens = tokens_of(codes, lengths)
+                some = pa.array(tokens.any(1))  # texts of nothing but white space have no strings in common
+                rows = [*part.columns[:3], pa.array(cls[:, 0]), pa.array(cls[:, 1]), _packed(tokens)]
+                yield pa.RecordBatch.from_arrays(rows, names=names).filter(some)
 
-    out = spread(records).mapInArrow(run, "kind string, id long, class binary, size int, tokens binary")
-    return out.where("size > 0")  # texts of nothing but white space have no strings in common
+    return kept.mapInArrow(run, "kind string, id long, exact long, c1 long, c2 long, tokens binary")
 
 
-def _orders() -> np.ndarray:
-    """The orders of bins, one for each key."""
-    rng = np.random.default_rng(20240229)
-    return np.array([rng.permutation(BINS)[:LONGEST] for _ in range(max(ORDERS))])
+def _packed(m: np.ndarray) -> pa.Array:
+    width = m.shape[1] * m.itemsize
+    offsets = pa.py_buffer((np.arange(len(m) + 1, dtype=np.int32) * width).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, offsets, pa.py_buffer(np.ascontiguousarray(m).tobytes())])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BINS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
 
 
-def frequent_tokens(reps: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin and token as one sorted number, share of the records) of the tokens
-    that at least FREQUENT of all records have."""
+# ------------------------------------------------------------------ frequencies
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.uint64)
+
+def token_shares(reps: DataFrame, total: int) -> np.ndarray:
+    """[BINS, TOKENS]: the share of the records that have a token.
+
+    Counted over all records; a task sends its counts as BINS compressed
+    vectors, so what reaches the driver has a fixed size (16 MB).
+    """
+    spark = reps.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS * TOKENS, np.int64)
+        some = False
+        for batch in batches:
+            m = _matrix(batch.column(0)).astype(np.int64)
+            some |= bool(len(m))
+            counts += np.bincount((m + np.arange(BINS) * TOKENS).ravel(), minlength=len(counts))
+        if some:
+            yield send(counts.reshape(BINS, TOKENS), range(BINS))
+
+    def send(rows: np.ndarray, bins) -> pa.RecordBatch:
+        blobs = [pa.compress(r.tobytes(), codec="zstd", asbytes=True) for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array(list(bins), pa.int32()), pa.array(blobs, pa.binary())], names=["bin", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            m = _matrix(batch.column(0)).astype(np.uint64)
-            m |= np.arange(BINS, dtype=np.uint64) << np.uint64(32)
-            held = np.concatenate([held, m[(m & np.uint64(0xFFFFFFFF)) > 0]])
-            if len(held) > 4_000_000:
-                yield from out(held)
-                held = held[:0]
-        yield from out(held)
-
-    def out(held: np.ndarray) -> Iterator[pa.RecordBatch]:
-        values, n = np.unique(held, return_counts=True)
-        for i in range(0, len(values), 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[i : i + 100_000].astype(np.int64)), pa.array(n[i : i + 100_000].astype(np.int32))], names=["token", "n"]
-            )
-
-    counted = reps.select("tokens").mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= max(2.0, FREQUENT * total)).toArrow()
-    token = np.asarray(rows["token"]).astype(np.uint64)
-    at = np.argsort(token)
-    return token[at], (np.asarray(rows["n"]).astype(np.float64) / max(total, 1))[at]
-
-
-def keys_of(tokens: np.ndarray, common: np.ndarray, share: np.ndarray, total: int) -> np.ndarray:
-    """Keys [records, orders]: the adaptive token combinations; 0 where the
-    combination is so short that the orders before suffice."""
-    orders = _orders()
-    marked = tokens.astype(np.uint64) | (np.arange(BINS, dtype=np.uint64) << np.uint64(32))
-    p = np.full(tokens.shape, max(FREQUENT, 1.0 / max(total, 1)))
-    if len(common):
-        at = np.minimum(np.searchsorted(common, marked), len(common) - 1)
-        p = np.where(common[at] == marked, share[at], p)
-    p = np.where(tokens == 0, 1.0, p)
-    bits = -np.log2(p)
-    need = np.log2(max(total, 2) / EXPECTED)
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(pa.decompress(blob, TOKENS * 8, codec="zstd"), np.int64)
+                sums[b] = sums[b] + part if b in sums else part
+        if sums:
+            yield send(np.array(list(sums.values())), sums)
+
+    kind = "bin int, counts binary"
+    tasks = min(spark.sparkContext.defaultParallelism, BINS)
+    # fewer, longer tasks send fewer vectors
+    counted = reps.select("tokens").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(count, kind)
+    rows = counted.repartitionById(tasks, F.col("bin") % tasks).mapInArrow(add, kind).toArrow()
+    shares = np.zeros((BINS, TOKENS), np.float32)
+    for b, blob in zip(rows["bin"].to_pylist(), rows["counts"].to_pylist(), strict=True):
+        shares[b] = np.frombuffer(pa.decompress(blob, TOKENS * 8, codec="zstd"), np.int64) / max(total, 1)
+    return shares
+
+
+# ------------------------------------------------------------------------- keys
+
+
+@lru_cache(8)
+def orders_needed(threshold: float) -> tuple[int, ...]:
+    """For keys of 1 .. LONGEST tokens the orders after which a pair at the
+    threshold has shared none with probability MISS.  Of the BINS tokens a
+    binomial number is equal, and a key's tokens are drawn without repetition."""
+    equal = np.arange(BINS + 1)
+    weight = np.array([comb(BINS, int(m)) * threshold**m * (1 - threshold) ** (BINS - m) for m in equal.tolist()])
+    out, shared = [], np.ones(BINS + 1)
+    for k in range(LONGEST):
+        shared = shared * np.maximum(equal - k, 0) / (BINS - k)
+        low, high = 1, 10_000
+        while low < high:
+            t = (low + high) // 2
+            low, high = (low, t) if (weight * (1 - shared) ** t).sum() <= MISS else (t + 1, high)
+        out.append(low)
+    return tuple(out)
+
+
+@lru_cache(8)
+def orders_for(threshold: float) -> np.ndarray:
+    """The fixed orders of bins [orders, LONGEST]: as many as a record whose
+    tokens are all frequent needs.  First places run through all bins in turn."""
+    rng = np.random.default_rng(20240229)
+    rows: list[list[int]] = []
+    n = orders_needed(threshold)[-1]
+    while len(rows) < n:
+        for first in rng.permutation(BINS).tolist():
+            rest = [b for b in rng.permutation(BINS).tolist() if b != first]
+            rows.append([first, *rest[: LONGEST - 1]])
+    return np.array(rows[:n])
+
+
+def keys_of(tokens: np.ndarray, shares: np.ndarray, total: int, threshold: float) -> np.ndarray:
+    """Keys [records, orders]; 0 where the orders before suffice."""
+    orders = orders_for(threshold)
+    marked = tokens.astype(np.uint64) | (np.arange(BINS, dtype=np.uint64) << np.uint64(16))
+    p = np.maximum(shares[np.arange(BINS), tokens], 1.0 / max(total, 1)).astype(np.float64)
+    # orders of each record: keys of its most frequent tokens are this long on average
+    bits = -np.log2(np.minimum(p, 0.999))
+    most = np.sort(bits, axis=1)[:, : int(np.ceil(threshold * BINS))].mean(1)
+    length = np.clip(np.log2(max(total / EXPECTED, 1)) / most + 0.5, 1, LONGEST)
+    taken = np.ceil(np.exp(np.interp(length, np.arange(1, LONGEST + 1), np.log(orders_needed(threshold))))).astype(np.int64)
+    taken = np.minimum(taken, len(orders))
     keys = np.zeros((len(tokens), len(orders)), np.uint64)
+    by_taken = np.argsort(-taken, kind="stable")
     with np.errstate(over="ignore"):
         for t, order in enumerate(orders):
-            h = np.full(len(tokens), np.uint64(t + 1) * _MULT, np.uint64)
-            sum_bits = np.zeros(len(tokens))
-            going = np.ones(len(tokens), bool)
-            most = np.zeros(len(tokens), np.int64)
-            for b, n in zip(order, ORDERS, strict=True):
-                most = np.where(going, n, most)
-                step = (h ^ marked[:, b]) * np.uint64(0xBF58476D1CE4E5B9)
+            need = by_taken[: np.count_nonzero(taken > t)]
+            if not len(need):
+                break
+            h = np.full(len(need), np.uint64(t + 1) * _MULT, np.uint64)
+            left = np.full(len(need), float(total))
+            going = np.ones(len(need), bool)
+            for b in order:
+                step = (h ^ marked[need, b]) * _MIX
                 step ^= step >> np.uint64(29)
                 h = np.where(going, step * _MULT, h)
-                sum_bits += np.where(going, bits[:, b], 0)
-                going &= sum_bits < need
-            keys[:, t] = np.where(t < most, np.maximum(h, np.uint64(1)), np.uint64(0))
+                left = np.where(going, left * p[need, b], left)
+                going &= left > EXPECTED
+                if not going.any():
+                    break
+            keys[need, t] = np.maximum(h ^ (h >> np.uint64(32)), np.uint64(1))
     return keys
 
 
 def _least(threshold: float) -> int:
-    """Equal tokens that a pair at the threshold practically always has."""
-    return int(np.floor(BINS * threshold - 3.6 * np.sqrt(BINS * threshold * (1 - threshold))))
+    """Tokens whose two bits agree that a pair at the threshold practically always has."""
+    alike = threshold + (1 - threshold) / 4
+    return int(np.floor(BINS * alike - 3.6 * np.sqrt(BINS * alike * (1 - alike))))
+
+
+def _hot_keys(reps: DataFrame, total: int, keys) -> dict[int, int]:
+    """Key -> blocks of the keys that more than about HOT records have.
+
+    Only the plan depends on this (which groups are cut into blocks), no result.
+    The sample is bounded, so at most its keys / 64 are hot.
+    """
+    rate = min(1 / 8, SAMPLE / max(total, 1))
+    if total <= HOT:
+        return {}
+    least = max(HOT * rate, 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                k = keys(_matrix(batch.column(0).slice(i, 2000))).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(k[k != 0].view(np.int64))], names=["key"])
+
+    some = reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20))).select("tokens")
+    rows = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).toArrow()
+    found = zip(np.asarray(rows["key"]).view(np.uint64).tolist(), rows["n"].to_pylist(), strict=True)
+    return {k: int(np.ceil(n / rate / BLOCK)) for k, n in found}
 
 
 def _candidates(reps: DataFrame, total: int, threshold: float) -> DataFrame:
-    """kind, a, b (a < b): representatives that share a key; those of a large
-    group only if their tokens agree often enough."""
-    common, share = frequent_tokens(reps, total)
-    held = reps.sparkSession.sparkContext.broadcast((common, share))
+    """kind, a, b (a < b): representatives that share a key and whose tokens
+    agree in two bits often enough."""
+    spark = reps.sparkSession
+    kinds = sorted(r[0] for r in reps.select("kind").distinct().collect())  # names of tables
+    if len(kinds) > 250:
+        raise ValueError("more than 250 kinds of records")
+    shared = spark.sparkContext.broadcast((token_shares(reps, total), kinds))  # 16 MB at any scale
+
+    def keys(tokens: np.ndarray) -> np.ndarray:
+        return keys_of(tokens, shared.value[0], total, threshold)
+
+    hot = spark.sparkContext.broadcast(_hot_keys(reps, total, keys))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 40 // POSTINGS)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                tokens = _matrix(part.column(3))
-                keys = keys_of(tokens, *held.value, total)
-                bits = np.packbits((tokens & 1).astype(np.uint8), axis=1).view(np.int64).ravel()
-                row, order = np.nonzero(keys)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[row, order].view(np.int64)), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(bits[row])],
-                    names=["key", "kind", "id", "size", "bits"],
-                )
-
-    kinds = "key long, kind string, id long, size int, bits long"
-    postings = reps.select("kind", "id", "size", "tokens").mapInArrow(post, kinds)
-    # the lowest bits agree in all bins of equal tokens and in half of the others
-    alike = (1 + threshold) / 2
-    least_bits = int(np.floor(BINS * alike - 4 * np.sqrt(BINS * alike * (1 - alike))))
+                held.append(postings(part))
+                if sum(map(len, held)) > POSTINGS:
+                    yield packed(np.concatenate(held))
+                    held = []
+        if held:
+            yield packed(np.concatenate(held))
+
+    def postings(part: pa.RecordBatch) -> np.ndarray:
+        tokens = _matrix(part.column(2))
+        k = keys(tokens)
+        row, order = np.nonzero(k)
+        out = np.zeros(len(row), _POSTING)
+        kind = pc.index_in(part.column(0), pa.array(shared.value[1], pa.string())).to_numpy(zero_copy_only=False).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            out["key"] = k[row, order] ^ (kind[row] * _MIX)
+        out["kind"] = kind[row]
+        out["id"] = np.asarray(part.column(1))[row]
+        for bit, name in ((0, "low"), (1, "high")):
+            out[name] = np.packbits(((tokens >> bit) & 1).astype(np.uint8), axis=1).view(np.uint64).ravel()[row]
+        if hot.value:
+            busy = np.isin(k[row, order], np.fromiter(hot.value, np.uint64, len(hot.value)))
+            if busy.any():
+                spots = np.nonzero(busy)[0]
+                out = np.concatenate([out[~busy], *(blocks(out[s], hot.value[int(k[row[s], order[s]])]) for s in spots)])
+        return out
+
+    def blocks(one: np.ndarray, n: int) -> np.ndarray:
+        """A posting of a hot key goes to every pair of blocks its own is part of."""
+        with np.errstate(over="ignore"):
+            own = int((one["id"].astype(np.uint64) * _MULT >> np.uint64(33)) % np.uint64(n))
+            other = np.arange(n, dtype=np.uint64)
+            out = np.repeat(one, n)
+            low, high = np.minimum(other, own), np.maximum(other, own)
+            out["key"] ^= (low * np.uint64(n) + high + np.uint64(1)) * _MULT
+        out["side"] = np.where(other == own, 0, np.where(other > own, 1, 2))
+        return out
+
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            part = (((rows["key"] * _MULT) >> np.uint64(33)) % np.uint64(tasks)).astype(np.int32)
+        at = np.argsort(part, kind="stable")
+        part, rows = part[at], rows[at]
+        first = np.nonzero(np.append(True, part[1:] != part[:-1]))[0]
+        size = rows.itemsize
+        offsets = np.append(first, len(rows)).astype(np.int32) * size
+        blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), blobs], names=["part", "rows"])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (kind, key); a group may span batches."""
-        rest: pa.Table | None = None
-
-        def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = np.asarray(table["key"])
-            kind = table["kind"].to_pandas().to_numpy()
-            ids, size, bits = np.asarray(table["id"]), np.asarray(table["size"]), np.asarray(table["bits"])
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
-            start = np.nonzero(new)[0]
-            length = np.diff(np.append(start, len(key)))
-            out_a, out_b, out_kind = [], [], []
-            small = (length > 1) & (length <= GROUP)
-            for n in np.unique(length[small]):
-                s = start[small & (length == n)]
-                i, j = np.triu_indices(n, 1)
-                x, y = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
-                fits = np.minimum(size[x], size[y]) >= 0.6 * np.maximum(size[x], size[y])
-                fits &= BINS - np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) >= least_bits
-                x, y = x[fits], y[fits]
-                out_a.append(np.minimum(ids[x], ids[y]))
-                out_b.append(np.maximum(ids[x], ids[y]))
-                out_kind.append(kind[x])
-            hot = start[length > GROUP]
-            if len(hot):
-                out_a.append(key[hot])
-                out_b.append(np.full(len(hot), -1))
-                out_kind.append(kind[hot])
-            if out_a:
-                a, b, k = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_kind)
-                is_hot = np.concatenate([np.zeros(len(a) - len(hot), bool), np.ones(len(hot), bool)])
-                for i in range(0, len(a), 50_000):
-                    s = slice(i, i + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(k[s], pa.string()), pa.array(a[s]), pa.array(b[s]), pa.array(is_hot[s])], names=["kind", "a", "b", "hot"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                # of a group that is too large only its first rows are kept in memory
-                table = pa.concat_tables([rest, table])
-            key, kind = np.asarray(table["key"]), table["kind"].to_pandas().to_numpy()
-            last = np.nonzero((key != key[-1]) | (kind != kind[-1]))[0]
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from emit(table.slice(0, cut))
-            rest = table.slice(cut, GROUP + 1).combine_chunks()
-        if rest is not None:
-            yield from emit(rest)
-
-    found = written(postings.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(pairs, "kind string, a long, b long, hot boolean"), "neardup-pairs")
-    hot = found.where("hot").select("kind", F.col("a").alias("key")).distinct()
-    plain = found.where("not hot").select("kind", "a", "b")
-    if not hot.isEmpty():
-        # groups of one key larger than GROUP: their tokens in blocks, no task holds a group
-        least = _least(threshold)
-
-        def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-            x, y = _matrix(pa.array(left["tokens"])), _matrix(pa.array(right["tokens"]))
-            keys_x, keys_y = keys_of(x, *held.value, total), keys_of(y, *held.value, total)
-            ids_x, ids_y = left["id"].to_numpy(), right["id"].to_numpy()
-            size_x, size_y = left["size"].to_numpy(), right["size"].to_numpy()
-            this = left["key"].to_numpy().view(np.uint64)[:1]
-            columns = np.ascontiguousarray(y.T)
-            out_a, out_b = [], []
-            for i in range(0, len(x), 128):
-                equal = np.zeros((len(x[i : i + 128]), len(y)), np.uint8)
-                for b in range(BINS):
-                    equal += x[i : i + 128, b, None] == columns[b]
-                near = np.minimum(size_x[i : i + 128, None], size_y) >= 0.6 * np.maximum(size_x[i : i + 128, None], size_y)
-                m, n = np.nonzero((equal >= least) & near)
-                m += i
-                if same:
-                    m, n = m[m < n], n[m < n]
-                # a pair of several groups is given by that of its first key only
-                first = np.zeros(len(m), bool)
-                for j in range(0, len(m), 50_000):
-                    k = keys_x[m[j : j + 50_000]]
-                    shared = (k == keys_y[n[j : j + 50_000]]) & (k != 0)
-                    first[j : j + 50_000] = k[np.arange(len(k)), shared.argmax(1)] == this
-                m, n = m[first], n[first]
-                out_a.append(np.minimum(ids_x[m], ids_y[n]))
-                out_b.append(np.maximum(ids_x[m], ids_y[n]))
-            if not out_a:
-                return pd.DataFrame({"a": [], "b": []})
-            return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-        big = postings.join(hot, ["kind", "key"], "left_semi").select("kind", "key", "id", "size")
-        big = written(big.join(reps.select("kind", "id", "tokens"), ["kind", "id"]), "neardup-hot")
-        more = block_pairs(big, ["kind", "key"], "id", ["size", "tokens"], compare, "a long, b long", BLOCK)
-        plain = plain.unionByName(more.select("kind", "a", "b"))
-    return plain.distinct()
-
-
-def _agreement(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose tokens agree about as often as the threshold asks for."""
     least = _least(threshold)
-    slim = reps.select("kind", "id", "tokens")
-    joined = (
-        pairs.join(slim.select("kind", F.col("id").alias("a"), F.col("tokens").alias("ta")), ["kind", "a"])
-        .join(slim.select("kind", F.col("id").alias("b"), F.col("tokens").alias("tb")), ["kind", "b"])
-        .select("kind", "a", "b", "ta", "tb")
-    )
+
+    def agree(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        differ = (rows["low"][x] ^ rows["low"][y]) | (rows["high"][x] ^ rows["high"][y])
+        ok = BINS - np.bitwise_count(differ) >= least
+        return x[ok], y[ok]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
+        if not blobs:
+            return
+        rows = np.frombuffer(b"".join(blobs), _POSTING)
+        del blobs
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        start = np.nonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))[0]
+        length = np.diff(np.append(start, len(rows)))
+        for n in np.unique(length[length > 1]).tolist():
+            these = start[length == n]
+            i, j = np.triu_indices(n, 1) if n <= 256 else (None, None)
+            step = max(1, 2_000_000 // (n * n))
+            for s in range(0, len(these), step):
+                if i is not None:
+                    at = these[s : s + step, None]
+                    yield from give(rows, *agree(rows, (at + i).ravel(), (at + j).ravel()))
+                    continue
+                for r in range(0, n, 256):  # one group, a strip of its square at a time
+                    x, y = np.meshgrid(np.arange(r, min(r + 256, n)), np.arange(r + 1, n), indexing="ij")
+                    inside = y > x
+                    yield from give(rows, *agree(rows, these[s] + x[inside], these[s] + y[inside]))
+
+    def give(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        side = rows["side"][x] + rows["side"][y]
+        ok = (side == 0) | (side == 3)
+        x, y = x[ok], y[ok]
+        if not len(x):
+            return
+        a, b = rows["id"][x], rows["id"][y]
+        ids = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+        kind = rows["kind"][x]
+        for k in np.unique(kind).tolist():
+            own = np.unique(ids[kind == k], axis=0)
+            own = own[own[:, 0] < own[:, 1]]
+            for s in range(0, len(own), 50_000):
+                part = own[s : s + 50_000]
+                name = pa.array([shared.value[1][k]] * len(part), pa.string())
+                yield pa.RecordBatch.from_arrays([name, pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["kind", "a", "b"])
+
+    posted = reps.select("kind", "id", "tokens").mapInArrow(post, "part int, rows binary")
+    return posted.repartitionById(tasks, F.col("part")).mapInArrow(pairs, "kind string, a long, b long").distinct()
+
+
+# ----------------------------------------------------------------- verification
+
+
+def _wanted(records: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``records`` (kind, id, text) of ``nodes`` (kind, id), and by chance some others.
+
+    A filter of fixed size (4 MB) keeps most other texts out of the shuffle; the
+    join behind it is exact.
+    """
+    spot = F.pmod(F.xxhash64("kind", "id"), F.lit(FILTER_BITS))
+    slices = nodes.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    rows = slices.collect()  # at most FILTER_BITS / 32,768 rows of 4 KB
+    width = 32768
+    field = np.zeros((FILTER_BITS // width + 2, width // 8), np.uint8)
+    for r in rows:
+        field[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = records.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = shared.value
         for batch in batches:
-            same = (_matrix(batch.column(3)) == _matrix(batch.column(4))).sum(1)
-            keep = pa.array(np.nonzero(same >= least)[0])
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in range(3)], names=["kind", "a", "b"])
+            bucket, bit = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            held = (field[bucket, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+            yield batch.select(["kind", "id", "text"]).filter(pa.array(held.astype(bool)))
 
-    return joined.mapInArrow(run, "kind string, a long, b long")
+    marked = records.select("kind", "id", "text", F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit"))
+    return marked.mapInArrow(run, records.select("kind", "id", "text").schema)
 
 
 def similar(records: DataFrame, threshold: float = 0.6, min_length: int = 300) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``.
 
-    ``members``: kind, id, rep, exact: the class of copies of every record of at
-    least ``min_length`` code points, named by its smallest id; ``exact`` is a
-    digest of the text as stored.
+    ``members``: kind, id, rep, exact, several: the class of copies of every
+    record of at least ``min_length`` code points, named by its smallest id;
+    ``exact`` is a digest of the text as stored, ``several`` whether the class
+    has more than one record.
     ``links``: kind, a, b, likeness: all pairs of representatives whose likeness
     is at least ``threshold`` (verified on the whole texts).
 
     ``records`` has kind, id, text; rows that repeat a key are one record (if
-    their texts differ, each text is looked at).  Null ids and texts and short
-    texts are left out; an empty table gives empty results.
+    their texts differ, each text is looked at).  Null kinds, ids and texts and
+    short texts are left out; an empty table gives empty results.
     """
-    rows = classed(records, min_length)
-    reps = written(sketches(rows).groupBy("kind", "class").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "neardup-reps")
-    stored = rows.groupBy("kind", "class", "id").agg(F.min(F.unhex(F.md5("text"))).alias("exact"))
-    members = stored.join(reps.select("kind", "class", F.col("id").alias("rep")), ["kind", "class"])
+    if not 0.3 <= threshold <= 1:
+        raise ValueError("the threshold must lie between 0.3 and 1")
+    rows = written(sketches(records, min_length), "neardup-sketches")
+    cls = ["kind", "c1", "c2"]
+    best = F.min(F.struct("id", "tokens")).alias("r")
+    reps = rows.groupBy(*cls).agg(best, (F.min("id") < F.max("id")).alias("several")).select(*cls, "r.id", "r.tokens", "several")
+    reps = written(reps, "neardup-reps")
+    stored = rows.groupBy(*cls, "id").agg(F.min("exact").alias("exact"))
+    members = stored.join(reps.select(*cls, F.col("id").alias("rep"), "several"), cls).select("kind", "id", "rep", "exact", "several")
     total = reps.count()
-    close = written(_agreement(reps, _candidates(reps, total, threshold), threshold), "neardup-close")
-    wanted = close.select("kind", F.col("a").alias("id")).unionByName(close.select("kind", F.col("b").alias("id"))).distinct()
-    texts = (
-        records.where(F.length("text") >= min_length)
-        .select("kind", F.col("id").cast("long").alias("id"), "text")
-        .join(wanted, ["kind", "id"], "left_semi")
-        .dropDuplicates(["kind", "id"])
-    )
-    texts = written(texts, "neardup-texts")
+    close = written(_candidates(reps, total, threshold), "neardup-close")
+    long_ones = records.where((F.length("text") >= min_length) & F.col("id").isNotNull()).select("kind", F.col("id").cast("long").alias("id"), "text")
+    nodes = close.select("kind", F.explode(F.array("a", "b")).alias("id"))
+    texts = _wanted(long_ones, nodes).repartition("kind", "id").groupBy("kind", "id", F.xxhash64("text").alias("exact")).agg(F.first("text").alias("text"))
     both = (
         close.join(texts.select("kind", F.col("id").alias("a"), F.col("text").alias("ta")), ["kind", "a"])
         .join(texts.select("kind", F.col("id").alias("b"), F.col("text").alias("tb")), ["kind", "b"])
@@ -371,21 +515,22 @@ def similar(records: DataFrame, threshold: float = 0.6, min_length: int = 300) -
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            known: dict[str, np.ndarray] = {}
             for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if len(known) > 500:
+                    known.clear()
                 for t in (x, y):
                     if t not in known:
-                        if len(known) > 2000:
-                            known.clear()
-                        known[t] = shingle_hashes(normal(t))
-                scores[i] = likeness(known[x] if x in known else shingle_hashes(normal(x)), known[y])
-            keep = np.nonzero(scores >= threshold - 1e-12)[0]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(keep)) for i in range(3)], pa.array(scores[keep])], names=["kind", "a", "b", "likeness"])
+                        known[t] = shingle_hashes(t)
+                scores[i] = likeness(known[x], known[y])
+            keep = pa.array(np.nonzero(scores >= threshold - 1e-12)[0])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(keep) for i in range(3)], pa.array(scores).take(keep)], names=["kind", "a", "b", "likeness"])
 
-    links = written(both.mapInArrow(verify, "kind string, a long, b long, likeness double"), "neardup-links")
-    return members.select("kind", "id", "rep", "exact"), links
+    found = both.mapInArrow(verify, "kind string, a long, b long, likeness double")
+    links = written(found.groupBy("kind", "a", "b").agg(F.max("likeness").alias("likeness")), "neardup-links")
+    return members, links
 
 
 def all_pairs(members: DataFrame, links: DataFrame, expand: int = 100, full_links: bool = False) -> DataFrame:
@@ -397,26 +542,24 @@ def all_pairs(members: DataFrame, links: DataFrame, expand: int = 100, full_link
     Copies stored differently are written out in full.
     """
     same = ["kind", "rep", "exact"]
-    members = written(members, "neardup-members")
-    size = members.groupBy(*same).agg(F.count("*").alias("n"), F.min("id").alias("head"))
-    members = members.join(size, same)
-    shown = members if full_links else members.where((F.col("n") <= expand) | (F.col("id") == F.col("head")))
-    shown = shown.select("kind", "rep", "id")
-    across = (
-        links.select("kind", F.col("a").alias("rep"), "b")
-        .join(shown, ["kind", "rep"])
-        .select("kind", F.col("id").alias("x"), F.col("b").alias("rep"))
-        .join(shown, ["kind", "rep"])
-        .select("kind", "x", F.col("id").alias("y"))
-    )
-    ids = members.select(*same, "id")
+    copies = written(members.where("several").select(*same, "id"), "neardup-copies")
+    size = copies.groupBy(*same).agg(F.count("*").alias("n"), F.min("id").alias("head"))
+    copies = copies.join(size, same)
+    shown = copies if full_links else copies.where((F.col("n") <= expand) | (F.col("id") == F.col("head")))
+
+    def spelt(pairs: DataFrame, end: str) -> DataFrame:
+        own = shown.select("kind", F.col("rep").alias(end), F.col("id").alias("_own"))
+        return pairs.join(own, ["kind", end], "left").withColumn(end, F.coalesce("_own", end)).drop("_own")
+
+    across = spelt(spelt(links.select("kind", "a", "b"), "a"), "b").select("kind", F.col("a").alias("x"), F.col("b").alias("y"))
+    ids = copies.select(*same, "id")
     # differently stored copies: by pairs of forms, so that equal ones never meet
     forms = size.select(*same).join(size.select("kind", "rep", F.col("exact").alias("other")), ["kind", "rep"]).where("exact < other")
     varied = forms.join(ids.withColumnRenamed("id", "x"), same).join(ids.withColumnRenamed("exact", "other").withColumnRenamed("id", "y"), ["kind", "rep", "other"])
-    many = members.where((F.col("n") > 1) & (F.col("n") <= expand)).select(*same, "id")
-    inside = many.withColumnRenamed("id", "x").join(many.withColumnRenamed("id", "y"), same).where("x < y").select("kind", "x", "y").unionByName(varied.select("kind", "x", "y"))
-    star = members.where((F.col("n") > expand) & (F.col("id") != F.col("head"))).select("kind", F.col("head").alias("x"), F.col("id").alias("y"))
-    out = across.unionByName(inside).unionByName(star)
+    many = copies.where((F.col("n") > 1) & (F.col("n") <= expand)).select(*same, "id")
+    inside = many.withColumnRenamed("id", "x").join(many.withColumnRenamed("id", "y"), same).where("x < y").select("kind", "x", "y")
+    star = copies.where((F.col("n") > expand) & (F.col("id") != F.col("head"))).select("kind", F.col("head").alias("x"), F.col("id").alias("y"))
+    out = across.unionByName(inside).unionByName(varied.select("kind", "x", "y")).unionByName(star)
     out = out.select(F.col("kind").alias("record_kind"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return out.where("id_a < id_b").distinct()
 
@@ -424,8 +567,8 @@ def all_pairs(members: DataFrame, links: DataFrame, expand: int = 100, full_link
 def classes(members: DataFrame, links: DataFrame) -> DataFrame:
     """record_kind, record_id, class_id (smallest id among its copies), copies,
     links (other texts that are alike beyond the threshold)."""
-    links = links.select("kind", F.col("a").alias("rep")).unionByName(links.select("kind", F.col("b").alias("rep")))
-    linked = links.groupBy("kind", "rep").agg(F.count("*").alias("links"))
+    ends = links.select("kind", F.explode(F.array("a", "b")).alias("rep"))
+    linked = ends.groupBy("kind", "rep").agg(F.count("*").alias("links"))
     size = members.groupBy("kind", "rep").agg(F.count("*").alias("copies"))
     out = members.join(size, ["kind", "rep"]).join(linked, ["kind", "rep"], "left").fillna(0, ["links"])
     return out.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), F.col("rep").alias("class_id"), "copies", "links")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -167,32 +168,41 @@ def test_hot_groups_lose_nothing(spark, monkeypatch):
         words[i] = f"changed{i}"
         rows.append(("document", i, " ".join(words)))
     records = spark.createDataFrame(rows, "kind string, id long, text string")
-    monkeypatch.setattr(neardup, "GROUP", 4)
+    monkeypatch.setattr(neardup, "HOT", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "_hot_keys", lambda reps, total, keys: {int(k): 5 for k in keys(neardup._matrix(reps.toArrow()["tokens"])).ravel() if k})
     members, links = neardup.similar(records)
     assert links.count() == 30 * 29 // 2
     assert {r["links"] for r in neardup.classes(members, links).collect()} == {29}
     assert neardup.similar(records.limit(0))[1].count() == 0
 
 
-def test_frequent_tokens_share_keys():
-    """A third of a million records: every pair of the group is at the threshold."""
-    rng, total, n = np.random.default_rng(5), 1_000_000, 400
-    base = rng.integers(1, 2**32, neardup.BINS).astype(np.uint32)
-    own = rng.integers(1, 2**32, (n, neardup.BINS)).astype(np.uint32)
-    kept = 0.6**0.5
+def shares_of(tokens, share):
+    out = np.zeros((neardup.BINS, neardup.TOKENS), np.float32)
+    out[np.arange(neardup.BINS), tokens] = share
+    return out
+
+
+@pytest.mark.parametrize("share", [1e-6, 0.003, 1 / 3])
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
+def test_frequent_tokens_share_keys(share, threshold):
+    """Of a million records, a group whose pairs are all at the threshold, its tokens of any frequency."""
+    rng, total, n = np.random.default_rng(5), 1_000_000, 300
+    base = rng.integers(1, 2**16, neardup.BINS).astype(np.uint16)
+    own = rng.integers(1, 2**16, (n, neardup.BINS)).astype(np.uint16)
+    kept = threshold**0.5
     tokens = np.where(rng.random((n, neardup.BINS)) < kept, base, own)
-    common = base.astype(np.uint64) | (np.arange(neardup.BINS, dtype=np.uint64) << np.uint64(32))
-    keys = neardup.keys_of(tokens, common, np.full(neardup.BINS, kept / 3), total)
+    keys = neardup.keys_of(tokens, shares_of(base, share), total, threshold)
     found = np.zeros((n, n), bool)
     for t in range(keys.shape[1]):
         found |= (keys[:, None, t] == keys[None, :, t]) & (keys[:, None, t] != 0)
     missed = 1 - found[np.triu_indices(n, 1)].mean()
-    print("missed", missed)
-    assert missed < 0.002
+    print("missed", missed, "keys", (keys > 0).sum(1).mean())
+    assert missed < 0.004
 
 
-@pytest.mark.parametrize("group", [256, 8])
-def test_story_of_a_third_of_the_rows(spark, monkeypatch, group):
+@pytest.mark.parametrize("hot", [4096, 40])
+def test_story_of_a_third_of_the_rows(spark, monkeypatch, hot):
     rng = random.Random(7)
     base = [prose(rng, 5) for _ in range(40)]
     texts = {}
@@ -202,10 +212,10 @@ def test_story_of_a_third_of_the_rows(spark, monkeypatch, group):
         else:
             texts[i] = " ".join(prose(rng, 5) if rng.random() < 0.14 else part for part in base)
     records = spark.createDataFrame([("document", i, t) for i, t in texts.items()], "kind string, id long, text string")
-    monkeypatch.setattr(neardup, "GROUP", group)
-    monkeypatch.setattr(neardup, "BLOCK", 50, raising=False)
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "BLOCK", 20)
     got = {(r["a"], r["b"]) for r in neardup.similar(records)[1].collect()}
-    sets = {i: neardup.shingle_hashes(neardup.normal(t)) for i, t in texts.items()}
+    sets = {i: neardup.shingle_hashes(t) for i, t in texts.items()}
     true = {(a, b): x for a in sets for b in sets if a < b and a % 3 == b % 3 == 0 and (x := neardup.likeness(sets[a], sets[b])) >= 0.6}
     assert sum(x < 0.75 for x in true.values()) > 2000
     missed = set(true) - got
@@ -213,6 +223,31 @@ def test_story_of_a_third_of_the_rows(spark, monkeypatch, group):
     assert len(missed) <= 0.002 * len(true) and got <= set(true)
 
 
+def test_other_thresholds(spark):
+    rng = random.Random(23)
+    base = [prose(rng, 4) for _ in range(50)]
+    texts = {i: " ".join(prose(rng, 4) if rng.random() < 0.13 else part for part in base) for i in range(120)}
+    records = spark.createDataFrame([("document", i, t) for i, t in texts.items()], "kind string, id long, text string")
+    sets = {i: neardup.shingle_hashes(t) for i, t in texts.items()}
+    scores = {(a, b): neardup.likeness(sets[a], sets[b]) for a in sets for b in sets if a < b}
+    for threshold in (0.5, 0.7):
+        got = {(r["a"], r["b"]) for r in neardup.similar(records, threshold)[1].collect()}
+        true = {pair for pair, x in scores.items() if x >= threshold}
+        assert len(true) > 400 and got <= true and len(true - got) <= 0.003 * len(true)
+    with pytest.raises(ValueError):
+        neardup.similar(records, 0.1)
+
+
+def test_normal_codes():
+    import pyarrow as pa
+
+    texts = ["A  b\n\tC", "", "  İSTANBUL ΣΑΣ ", "Đường   Ẅ", "x\u3000\u00a0y"]
+    codes, lengths = neardup.normal_codes(pa.array(texts))
+    at = np.cumsum(lengths)
+    got = [codes[b - n : b].tobytes().decode("utf-32-le") for b, n in zip(at, lengths, strict=True)]
+    assert got == [re.sub(r"\s+", " ", t.lower()) for t in texts]
+
+
 def test_only_exact_copies_have_the_short_form(spark):
     text = prose(random.Random(4), 90)
     near = text.rsplit(" ", 4)[0]

@@ -17,7 +17,7 @@ that nobody shares).  Two records that share a key agree on its length, and the
 one that takes fewer orders is safe by itself, so the bound holds for every
 pair, however frequent the tokens are.
 
-Records that share a key are compared by two bits of each token at once; what
+Records that share a key are compared by four bits of each token at once; what
 comes near the threshold is verified on the whole texts.  Keys of very many
 records are found beforehand (by a bounded sample, for planning only) and their
 groups cut into blocks, any two of which meet in some task.
@@ -42,7 +42,7 @@ WIDTH = 8
 BINS = 64
 TOKENS = 1 << 16  # values of a token
 MISS = 2e-3  # a pair exactly at the threshold shares no key with about this probability
-EXPECTED = 64  # a combination is long enough when so few records are expected to share it
+EXPECTED = 128  # a combination is long enough when so few records are expected to share it
 LONGEST = 4
 HOT = 4096  # groups of one key above this are cut into blocks
 BLOCK = 2048  # rows of such a block
@@ -51,7 +51,8 @@ POSTINGS = 1_000_000  # keys a task sorts, about
 FILTER_BITS = 1 << 25  # of the filter that keeps texts without a candidate out of the shuffle
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_POSTING = np.dtype([("key", "<u8"), ("id", "<i8"), ("low", "<u8"), ("high", "<u8"), ("kind", "u1"), ("side", "u1")])
+_POSTING = np.dtype([("key", "<u8"), ("id", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("b2", "<u8"), ("b3", "<u8"), ("kind", "u1"), ("side", "u1")])
+_PLANES = ("b0", "b1", "b2", "b3")
 
 
 # ------------------------------------------------------------------- sketches
@@ -304,9 +305,9 @@ def keys_of(tokens: np.ndarray, shares: np.ndarray, total: int, threshold: float
 
 
 def _least(threshold: float) -> int:
-    """Tokens whose two bits agree that a pair at the threshold practically always has."""
-    alike = threshold + (1 - threshold) / 4
-    return int(np.floor(BINS * alike - 3.6 * np.sqrt(BINS * alike * (1 - alike))))
+    """Tokens whose four bits agree that a pair at the threshold practically always has."""
+    alike = threshold + (1 - threshold) / 16
+    return int(np.floor(BINS * alike - 3.3 * np.sqrt(BINS * alike * (1 - alike))))
 
 
 def _hot_keys(reps: DataFrame, total: int, keys) -> dict[int, int]:
@@ -334,7 +335,7 @@ def _hot_keys(reps: DataFrame, total: int, keys) -> dict[int, int]:
 
 def _candidates(reps: DataFrame, total: int, threshold: float) -> DataFrame:
     """kind, a, b (a < b): representatives that share a key and whose tokens
-    agree in two bits often enough."""
+    agree in four bits often enough."""
     spark = reps.sparkSession
     kinds = sorted(r[0] for r in reps.select("kind").distinct().collect())  # names of tables
     if len(kinds) > 250:
@@ -369,7 +370,7 @@ def _candidates(reps: DataFrame, total: int, threshold: float) -> DataFrame:
             out["key"] = k[row, order] ^ (kind[row] * _MIX)
         out["kind"] = kind[row]
         out["id"] = np.asarray(part.column(1))[row]
-        for bit, name in ((0, "low"), (1, "high")):
+        for bit, name in enumerate(_PLANES):
             out[name] = np.packbits(((tokens >> bit) & 1).astype(np.uint8), axis=1).view(np.uint64).ravel()[row]
         if hot.value:
             busy = np.isin(k[row, order], np.fromiter(hot.value, np.uint64, len(hot.value)))
@@ -402,10 +403,14 @@ def _candidates(reps: DataFrame, total: int, threshold: float) -> DataFrame:
 
     least = _least(threshold)
 
-    def agree(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        differ = (rows["low"][x] ^ rows["low"][y]) | (rows["high"][x] ^ rows["high"][y])
-        ok = BINS - np.bitwise_count(differ) >= least
-        return x[ok], y[ok]
+    def agree(planes: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for upto in (2, 4):  # two bits tell most pairs apart already
+            differ = np.zeros(len(x), np.uint64)
+            for name in _PLANES[:upto]:
+                differ |= planes[name][x] ^ planes[name][y]
+            ok = BINS - np.bitwise_count(differ) >= least
+            x, y = x[ok], y[ok]
+        return x, y
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
@@ -414,6 +419,7 @@ def _candidates(reps: DataFrame, total: int, threshold: float) -> DataFrame:
         rows = np.frombuffer(b"".join(blobs), _POSTING)
         del blobs
         rows = rows[np.argsort(rows["key"], kind="stable")]
+        planes = {name: np.ascontiguousarray(rows[name]) for name in _PLANES}
         start = np.nonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))[0]
         length = np.diff(np.append(start, len(rows)))
         for n in np.unique(length[length > 1]).tolist():
@@ -423,12 +429,12 @@ def _candidates(reps: DataFrame, total: int, threshold: float) -> DataFrame:
             for s in range(0, len(these), step):
                 if i is not None:
                     at = these[s : s + step, None]
-                    yield from give(rows, *agree(rows, (at + i).ravel(), (at + j).ravel()))
+                    yield from give(rows, *agree(planes, (at + i).ravel(), (at + j).ravel()))
                     continue
                 for r in range(0, n, 256):  # one group, a strip of its square at a time
                     x, y = np.meshgrid(np.arange(r, min(r + 256, n)), np.arange(r + 1, n), indexing="ij")
                     inside = y > x
-                    yield from give(rows, *agree(rows, these[s] + x[inside], these[s] + y[inside]))
+                    yield from give(rows, *agree(planes, these[s] + x[inside], these[s] + y[inside]))
 
     def give(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
         side = rows["side"][x] + rows["side"][y]

@@ -59,6 +59,24 @@ def test_spans_against_brute_force(spark, monkeypatch, hot):
     assert got == brute_spans(texts, 200)
 
 
+def test_the_automaton_finds_the_occurrences():
+    """No position is handed to a shard: without the automaton there are no rows."""
+    rng = random.Random(8)
+    passages = [prose(rng, 9)[:32] for _ in range(5)]
+    segments = ["x" + passages[0] + passages[1], passages[0] * 2, passages[3] + "..", "none here", passages[2]]
+    shard = np.array([7, 7, 7, 8, 8])
+    got = spans.occurrences(segments, shard, passages, np.array([7, 7, 8, 7, 8]))
+    assert set(zip(*(x.tolist() for x in got), strict=True)) == {(0, 1, 0), (0, 33, 1), (1, 0, 0), (1, 32, 0), (2, 0, 3), (4, 0, 2)}
+    assert [len(x) for x in spans.occurrences(segments, shard, [], np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+def test_windows_are_compared_by_their_characters(monkeypatch):
+    monkeypatch.setattr(spans, "_rolling", lambda codes, width: np.zeros(max(len(codes) - width + 1, 0), np.uint64))
+    zeros, none = np.zeros(3, np.int64), np.zeros(3, bool)
+    got = spans._shared_windows(zeros, np.array([1, 2, 3]), zeros, ["abcdefgh" * 9, "y" + "abcdefgh" * 9, "z" * 80], none, 70)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [(1, 0, 72), (2, 1, 73)]
+
+
 def test_spans_of_nothing(spark):
     assert spans.shared_spans(spark.createDataFrame([], "rec long, text string")).count() == 0
     docs = spark.createDataFrame([(1, "x" * 250), (2, "x" * 250), (3, "")], "doc_id long, text string")

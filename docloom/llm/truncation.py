@@ -1,6 +1,8 @@
 """Problem 2: texts that were cut off, and how often each source cuts.
 
-Two kinds of evidence are combined as log odds.
+Two kinds of evidence are combined as log odds.  By its definition a text that
+stops inside a word or sentence is cut, and one that stops with a sentence isn't;
+for all other endings the two decide together.
 
 *Length.*  Where a source cuts at a limit, its length distribution has a spike
 there.  For each source and unit (code points, bytes, words) the histogram of
@@ -12,14 +14,20 @@ value at a limit gets the posterior that it was censored.
 or a decimal's doesn't; links, date lines, signatures, names in brackets and
 symbols are ends of their own.  List items and scripts without full stops are
 judged by how often, in the whole corpus, the last words end a sentence or item.
+How likely each of these endings is in cut and in whole texts is fitted to the
+records themselves (EM): at a limit the length says how many are cut, elsewhere
+the endings that leave no doubt say it.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,9 +36,13 @@ from pyspark.sql import functions as F
 from docloom.runtime import spread, written
 
 UNITS = ("chars", "bytes", "words")
-PRIOR = math.log(0.08 / 0.92)  # share of cut values away from any limit
-# log likelihood ratios of the endings, cut against whole
-WEIGHTS = {"open": 9.0, "broken": 12.0, "closed": -9.0, "closed_number": -1.0, "item": -1.0, "bare": -1.0, "own": -3.5, "own_short": -1.0}
+SURE = {"open": True, "broken": True, "closed": False}  # cut or not by definition
+# first guesses of the log likelihood ratios of the other endings, cut against
+# whole; they weigh as much as GUESS records do
+GUESSES = {"closed_number": -1.0, "item": -1.0, "bare": -1.0, "own": -3.5, "own_short": -1.0}
+GUESS = 8.0
+STEP, MOST = 1.0, 6  # width and number (each way) of the classes of the statistic of the last words
+FILTER_BITS = 1 << 25  # of the filter for the last words that are counted
 TOKENS_PER_END = math.log(12.0)  # words for each end of a sentence or item, about
 # fixed values: abbreviations that stand before a name or number, so that a text can't end with them
 LEADING = frozenset(
@@ -106,10 +118,11 @@ def ending_of(text: str) -> tuple[str, str]:
     return "open", token
 
 
-def _shape(word: str) -> str:
-    import re
+_DIGITS = re.compile(r"\d+")
+
 
-    return re.sub(r"\d+", "9", word).lower()
+def _shape(word: str) -> str:
+    return _DIGITS.sub("9", word).lower()
 
 
 def features(records: DataFrame) -> DataFrame:
@@ -243,30 +256,116 @@ def limits_by_source(feats: DataFrame) -> DataFrame:
     return found
 
 
+_CLOSED = re.compile(r"[.!?…。！？।;；][\"'”“»«’」』）)\]]*$")
+_CLEAN = ".!?…。！？।;；,\"'”“»«’」』）)]"
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff]")
+_STOPS = re.compile(r"[\s。！？;；」”）]")
+_WORDS = re.compile(r"[^\s]+|\n")
+
+
+def _tally(text: str, seen: Counter, ended: Counter) -> None:
+    """Counts the words, the pairs of words and (in scripts without spaces) the
+    strings of three characters of a text, and how many end a sentence, item or line."""
+    words = [_shape(w) if w != "\n" else w for w in _WORDS.findall(text)]
+    before = ""
+    for w, after in zip(words, [*words[1:], "\n"], strict=True):
+        x = w.rstrip(_CLEAN) if w != "\n" else w
+        if x:
+            pair = f"{before} {x}"
+            seen[x] += 1
+            seen[pair] += 1
+            if after == "\n" or _CLOSED.search(w):
+                ended[x] += 1
+                ended[pair] += 1
+        before = w
+    if _UNSPACED.search(text):
+        seen.update(["\x00" + text[i : i + 3] for i in range(len(text) - 2)])
+        for m in _STOPS.finditer(text, 3):
+            ended["\x00" + text[m.start() - 3 : m.start()]] += 1
+        ended["\x00" + text[-3:]] += 1
+
+
 def end_statistics(records: DataFrame, tokens: DataFrame) -> DataFrame:
     """token, n, ends: how often each of ``tokens`` occurs in the corpus and how
-    often it ends a sentence, an item or a line there."""
-    marked = records.select(F.regexp_replace("text", r"[ \t]+", " ").alias("t"))
-    words = F.regexp_extract_all("t", F.lit(r"[^\s]+|\n"), F.lit(0))
-    spaced = marked.select(F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"\d+", "9"))).alias("w"))
-    closed = r"[.!?…。！？।;；][\"'”“»«’」』）)\]]*$"
-    clean = r"[.!?…。！？।;；,\"'”“»«’」』）)\]]+$"
-    item = F.transform(
-        F.col("w"),
-        lambda x, i: F.struct(
-            F.regexp_replace(x, clean, "").alias("x"),
-            F.coalesce(F.get("w", i - 1), F.lit("")).alias("b"),
-            (x.rlike(closed) | (F.coalesce(F.get("w", i + 1), F.lit("\n")) == "\n")).cast("int").alias("e"),
-        ),
-    )
-    pairs = spaced.select(F.explode(item).alias("i")).where("i.x <> ''").select(F.explode(F.array(F.concat_ws(" ", "i.b", "i.x"), F.col("i.x"))).alias("token"), F.col("i.e").alias("e"))
-    bare = marked.where(F.col("t").rlike(r"[\x{e00}-\x{eff}\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]"))
-    grams = bare.select(F.explode(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1)))).alias("i"), "t").select(
-        F.concat(F.lit("\x00"), F.substring("t", F.col("i"), F.lit(3))).alias("token"),
-        F.coalesce(F.substring("t", F.col("i") + 3, F.lit(1)).rlike(r"^$|[\s。！？;；」”）]"), F.lit(True)).cast("int").alias("e"),
-    )
-    both = pairs.unionByName(grams).groupBy("token").agg(F.count("*").alias("n"), F.sum("e").alias("ends"))
-    return both.join(tokens, "token", "left_semi")
+    often it ends a sentence, an item or a line there.
+
+    All texts are counted; a filter of fixed size (4 MB) keeps most strings that
+    nobody asks for out of the shuffle, and the join behind it is exact.
+    """
+    import xxhash
+
+    width = 32768
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % FILTER_BITS for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([a // width for a in at], pa.int32()), pa.array([a % width for a in at], pa.int64())], names=["slice", "bit"])
+
+    slices = tokens.mapInArrow(spots, "slice int, bit long").groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    field = np.zeros((FILTER_BITS // width, width // 8), np.uint8)
+    for r in slices.collect():  # at most FILTER_BITS / 32,768 rows of 4 KB
+        field[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = records.sparkSession.sparkContext.broadcast(field.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field, seen, ended = shared.value, Counter(), Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for t, n in seen.items():
+                a = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % FILTER_BITS
+                if field[a >> 3] >> (a & 7) & 1:
+                    rows.append((t, n, ended[t]))
+            for i in range(0, len(rows), 20_000):
+                t, n, e = zip(*rows[i : i + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n, pa.int64()), pa.array(e, pa.int64())], names=["token", "n", "ends"])
+            seen.clear()
+            ended.clear()
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                _tally(t, seen, ended)
+                if len(seen) > 400_000:
+                    yield from out()
+        yield from out()
+
+    counted = spread(records.select("text")).mapInArrow(run, "token string, n long, ends long")
+    return counted.groupBy("token").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).join(tokens, "token", "left_semi")
+
+
+def fit_endings(rows: list[tuple[str, int, float | None, int]], rounds: int = 30) -> tuple[float, dict[tuple[str, int], float]]:
+    """(share of cut texts away from limits, {(ending, class): log likelihood
+    ratio, cut against whole}) from (ending, class, posterior at the limit or
+    None, records)."""
+    clear = {True: 0.5, False: 5.0}  # pseudo-counts
+    for ending, _, post, n in rows:
+        if ending in SURE and post is None:
+            clear[SURE[ending]] += n
+    elsewhere = clear[True] / (clear[True] + clear[False])
+    kinds = sorted({(e, c) for e, c, _, _ in rows if e not in SURE})
+    ratio = {k: GUESSES[k[0]] + k[1] * STEP for k in kinds}
+    guess = dict(ratio)
+    for _ in range(rounds):
+        cut, whole = dict.fromkeys(kinds, 0.0), dict.fromkeys(kinds, 0.0)
+        all_cut = all_whole = 1.0
+        for ending, c, post, n in rows:
+            prior = elsewhere if post is None else post
+            if ending in SURE:
+                odds = math.inf if SURE[ending] else 0.0
+            else:
+                odds = prior / (1 - prior) * math.exp(ratio[(ending, c)])
+            share = 1.0 if odds == math.inf else odds / (1 + odds)
+            all_cut, all_whole = all_cut + n * share, all_whole + n * (1 - share)
+            if ending not in SURE:
+                cut[(ending, c)] += n * share
+                whole[(ending, c)] += n * (1 - share)
+        for k in kinds:
+            # the guess takes part as GUESS records that are split as it says
+            base = all_cut / all_whole
+            odds = base * math.exp(guess[k])
+            c, w = cut[k] + GUESS * odds / (1 + odds), whole[k] + GUESS / (1 + odds)
+            ratio[k] = math.log(c / w) - math.log(base)
+    return elsewhere, ratio
 
 
 def judge(records: DataFrame) -> DataFrame:
@@ -275,6 +374,8 @@ def judge(records: DataFrame) -> DataFrame:
     ``records`` has record_kind, record_id, source, text (see :func:`latest`).
     A null source is a source of its own.  Blank texts are never cut.
     """
+    spark = records.sparkSession
+    records = written(records, "truncation-texts")
     feats = written(features(records), "truncation")
     limits = limits_by_source(feats)
     scored = feats
@@ -283,14 +384,13 @@ def judge(records: DataFrame) -> DataFrame:
             F.col("source").alias("_s"), F.col("value").alias(f"_{unit}"), F.col("posterior").alias(f"at_{unit}")
         )
         scored = scored.join(own, (F.coalesce("source", F.lit("")) == F.col("_s")) & (F.col(unit) == F.col(f"_{unit}")), "left").drop("_s", f"_{unit}")
-    scored = scored.withColumn("posterior", F.coalesce(F.greatest(*[f"at_{u}" for u in UNITS]), F.lit(0.0)))
+    scored = scored.withColumn("posterior", F.greatest(*[f"at_{u}" for u in UNITS]))
     judged = feats.where("ending in ('item', 'bare', 'closed_number') and token <> ''")
     last = F.when(F.col("token").startswith("\x00"), F.col("token")).otherwise(F.element_at(F.split("token", " "), -1))
     tokens = judged.select(F.explode(F.array(F.col("token"), last)).alias("token")).distinct()
     stats = written(end_statistics(records, tokens), "truncation-ends")
     scored = scored.withColumn("last", last).join(stats, "token", "left")
     scored = scored.join(stats.select(F.col("token").alias("last"), F.col("n").alias("n1"), F.col("ends").alias("ends1")), "last", "left")
-    weight = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
 
     def ratio(n: str, ends: str) -> Column:
         # the record's own end is one of those counted
@@ -301,10 +401,20 @@ def judge(records: DataFrame) -> DataFrame:
     fragment = unseen & F.col("token").isNotNull() & ~F.col("token").startswith("\x00") & F.col("small")
     stat = F.when(F.col("token") == "", 0.0).when(fragment, 5.0).when(few, ratio("n1", "ends1")).otherwise(ratio("n", "ends"))
     stat = F.when(F.col("ending").isin("item", "bare", "closed_number"), stat).otherwise(0.0)
-    length = F.when(F.col("posterior") > 0, F.log(F.col("posterior") / (1 - F.col("posterior")))).otherwise(PRIOR)
-    return scored.withColumn("score", length + weight[F.col("ending")] + stat).select(
-        "record_kind", "record_id", "source", "ending", "token", "chars", "bytes", "words", "posterior", "n", "ends", "score", (F.col("score") > 0).alias("truncated")
-    )
+    place = F.least(F.greatest(F.round(stat / STEP), F.lit(-float(MOST))), F.lit(float(MOST))).cast("int")
+    scored = written(scored.withColumn("class", place), "truncation-scored")
+    # at most endings x classes x 20 steps of the posterior
+    kinds = scored.groupBy("ending", "class", F.round("posterior", 2).alias("post")).agg(F.count("*").alias("n"), F.avg("posterior").alias("p")).collect()
+    elsewhere, fitted = fit_endings([(r["ending"], r["class"], r["p"], r["n"]) for r in kinds])
+    table = [(e, c, float(x)) for (e, c), x in fitted.items()]
+    fit = F.broadcast(spark.createDataFrame(table, "ending string, class int, ending_ratio double"))
+    sure = F.when(F.col("ending").isin([k for k, cut in SURE.items() if cut]), 99.0).when(F.col("ending").isin([k for k, cut in SURE.items() if not cut]), -99.0)
+    prior = F.coalesce("posterior", F.lit(elsewhere))
+    score = F.log(prior / (1 - prior)) + F.coalesce(sure, F.col("ending_ratio"))
+    return scored.join(fit, ["ending", "class"], "left").select(
+        "record_kind", "record_id", "source", "ending", "token", "chars", "bytes", "words", F.coalesce("posterior", F.lit(0.0)).alias("posterior"), "n", "ends",
+        score.alias("score"), (score > 0).alias("truncated"),
+    )
 
 
 def rates(judged: DataFrame) -> DataFrame:

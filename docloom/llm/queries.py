@@ -98,6 +98,22 @@ def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
 
+def p8_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each target source has to give."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0).select(mixing.source_key("source").alias("key"), F.length("text").alias("n"))
+    goals = table(spark, sf_dir, "mix_targets").where("source is not null").withColumn("key", mixing.source_key("source"))
+    sizes = docs.groupBy("key").agg(F.count("*").alias("documents"), F.sum("n").alias("chars"))
+    return goals.join(F.broadcast(sizes.join(F.broadcast(goals.select("key")), "key", "left_semi")), "key", "left").fillna(0, ["documents", "chars"]).select(
+        "source", "documents", "chars", (F.col("chars") * F.col("max_repeats")).alias("most_chars")
+    )
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between class representatives; p3_classes has the membership."""
+    _, links = neardup.similar(_records(spark, sf_dir))
+    return links.select(F.col("kind").alias("record_kind"), F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("likeness", 6).alias("likeness"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
     return levels.select("doc_id", "reading_level")
@@ -115,8 +131,8 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_shares, p2_found, p2_rates, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_canonical,
-        p6_found, p7_ids, p8_mix, p8_copies, p9_found, p9_profile,
+        p1_found, p1_shares, p2_found, p2_rates, p3_found, p3_classes, p3_links, p4_found, p4_pieces, p5_found, p5_canonical,
+        p6_found, p7_ids, p8_mix, p8_copies, p8_pool, p9_found, p9_profile,
     )
 }
 
@@ -127,5 +143,9 @@ SELECT '{kind}' AS record_kind, CAST({key} AS BIGINT) AS record_id,
 FROM {table} WHERE length(text) > 2000 GROUP BY {key}"""
 
 ORACLES: dict[str, str] = {
+    "p8_pool": """
+SELECT t.source, count(d.k) AS documents, coalesce(sum(d.n), 0)::BIGINT AS chars, (coalesce(sum(d.n), 0) * any_value(t.max_repeats))::BIGINT AS most_chars
+FROM mix_targets t LEFT JOIN (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS k, length(text) AS n FROM documents WHERE length(text) > 0) d
+ON lower(regexp_replace(t.source, '^\\s+|\\s+$', '', 'g')) = d.k GROUP BY t.source""",
     "p4_found": _LONG.format(kind="document", key="doc_id", table="documents") + " UNION ALL " + _LONG.format(kind="chunk", key="chunk_no", table="chunks"),
 }

@@ -478,16 +478,28 @@ def test_mix_reaches_its_shares(spark):
     docs = clashing(spark.createDataFrame(rows, "doc_id long, source string, text string"))
     goals = [("Big Post", 0.45, 1), ("Mid", 0.2, 2), ("Small", 0.2, 3), ("Tiny", 0.1, 4), ("Absent", 0.05, 2), (None, 0.3, 1)]
     targets = spark.createDataFrame(goals, "source string, target_share double, max_repeats int")
-    copies, report = mixing.mix(docs, targets)
+    copies, report = mixing.mix(docs, targets, shortfall=0.0)
     got = {r["source"]: r for r in report.collect()}
     assert set(got) == {"Big Post", "Mid", "Small", "Tiny", "Absent"}
     assert got["Absent"]["tokens"] == 0 and got["Absent"]["actual_share"] == 0
+    lengths = {r["doc_id"]: len(r["text"].split()) for r in docs.where("text is not null").select("doc_id", "text").collect()}
+    of = {r["doc_id"]: " ".join((r["source"] or "").lower().split()) for r in docs.select("doc_id", "source").collect()}
+    used = [(r["source"], r["doc_id"], r["copies"]) for r in copies.collect()]
+    for name in ("Big Post", "Mid", "Small"):
+        all_ = [lengths[i] for i, k in of.items() if k == name.lower() and lengths.get(i)]
+        mean = sum(lengths[i] * n for k, i, n in used if k == name) / sum(n for k, _, n in used if k == name)
+        assert abs(mean / (sum(all_) / len(all_)) - 1) < 0.1, name
     for name, share, cap in goals[:4]:
         assert abs(got[name]["actual_share"] - share / 0.95) < 0.004
         assert got[name]["most_repeats"] <= cap
     assert copies.groupBy("doc_id").count().where("count > 1").count() == 0
     half = {r["source"]: r for r in mixing.mix(docs, targets, total_tokens=20000)[1].collect()}
-    assert abs(sum(r["tokens"] for r in half.values()) - 20000) < 400
+    assert abs(sum(r["tokens"] for r in half.values()) - 19000) < 400 and half["Absent"]["missing_tokens"] == 1000
+    more = {r["source"]: r for r in mixing.mix(docs, targets, shortfall=0.5)[1].collect()}
+    size = more["Absent"]["missing_tokens"] / 0.05
+    assert size > 1.1 * sum(r["tokens"] for r in got.values()) and more["Big Post"]["missing_tokens"] > 0 and more["Big Post"]["most_repeats"] == 1
+    for name, share, cap in goals[1:4]:
+        assert abs(more[name]["size_share"] - share) < 120 / size and more[name]["most_repeats"] <= cap
     empty = mixing.mix(docs.limit(0), targets)[1].collect()
     assert len(empty) == 5 and all(r["tokens"] == 0 for r in empty)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import canonical, mixing, neardup, reading, sentences, spans, splitting, tokens, truncation
+from docloom.llm.language import learn_languages
 from docloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +84,8 @@ def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sentences.split_sentences(docs, sentences.learn(docs))
+    languages = learn_languages(docs)
+    return sentences.split_sentences(docs, sentences.learn(docs, languages=languages), languages=languages)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
-"""Problem 9: reading level by label propagation on the document-word graph.
+"""Problem 9: reading level by harmonic propagation on the document-word graph.
 
 Documents and words are the two sides of a graph.  Documents that people have
 graded are clamped; difficulty (as a deviation from the language's mean) flows
-to their words, from the words to all documents and back, for a few harmonic
-rounds.  A word's score is the mean over its documents (shrunk where few are
-known), a document's the mean over its words, weighted by how far these stand
-out.  The continuous score is cut into levels by thresholds fitted to the graded
-documents' scores without their own grade's influence.
+to their words, from the words to all documents and back, until it changes no
+more.  A word's score is the mean over its documents, an estimated one counting
+``trust`` as much as a graded one, and tied to zero where few are known; a
+document's score is the mean over its words.  The weight of an edge is fixed
+before: it says how far the word stands out among the graded documents alone.  So
+the result is the harmonic function of one weighted graph, whatever the number
+of rounds, and each round comes closer to it by a constant factor.  The score is
+cut into levels by thresholds fitted to the graded documents' scores without
+their own grade's influence.
 
 Words live in a fixed number of hash buckets, so that the word side is an array
 of known size, whatever the corpus: it is summed up in the executors and the
@@ -25,30 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.language import learn_languages
 from docloom.runtime import spread, written
 
-BUCKETS = 1 << 20  # broadcast: three float arrays of this length, 12 MB
+BUCKETS = 1 << 20  # broadcast: three float arrays of this length, 12 MB, and one of booleans
 MIN_LENGTH = 300
 LEVELS = (1, 2, 3)
 BINS = 400  # score histogram for the thresholds: at most languages x BINS x levels rows
 # a word with the vowel signs and marks of Devanagari and its relatives
 _WORD = re.compile(r"(?:[^\W\d_]|[\u0900-\u0963\u0970-\u0dff])+")
-# fixed values: a few very common words, to guess the language where none is stored
-COMMON = {
-    "vi": "các những của ở và với", "en": "the of and in with", "fr": "les des ont et dans une", "de": "die der und von den mit", "es": "las los de en con por",
-}
-
-
-def guess_language(text: str) -> str:
-    """By script, else by the most frequent common words; '' if nothing fits."""
-    head = text[:600]
-    for low, high, code in (("\u3040", "\u30ff", "ja"), ("\u0e00", "\u0e7f", "th"), ("\u0900", "\u097f", "hi"), ("\u4e00", "\u9fff", "zh")):
-        if sum(low <= c <= high for c in head) > 0.1 * len(head):
-            return code
-    words = head.lower().split()
-    hits = {code: sum(w in known for w in words) for code, known in ((c, k.split()) for c, k in COMMON.items())}
-    best = max(hits, key=lambda c: hits[c])
-    return best if hits[best] > 0.03 * len(words) else ""
 
 
 def bucket_list(text: str, buckets: int = BUCKETS) -> np.ndarray:
@@ -88,15 +77,15 @@ def graph(documents: DataFrame, labels: DataFrame, min_length: int = MIN_LENGTH)
         .groupBy("doc_id")
         .agg(F.percentile("v", F.lit(0.5)).alias("label"))
     )
-    code = F.lower(F.substring(F.trim(F.coalesce("lang", F.lit(""))), 1, 2))
+    shared = documents.sparkSession.sparkContext.broadcast(learn_languages(documents))
     kept = documents.where((F.length("text") >= min_length) & F.col("text").rlike(r"(?U)\S"))
-    kept = spread(kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(code == "un", "").otherwise(code).alias("lang"), "text"))
+    kept = spread(kept.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             lists = [bucket_list(t) for t in texts]
-            langs = [code or guess_language(t) for code, t in zip(batch.column(1).to_pylist(), texts, strict=True)]
+            langs = [shared.value.code(code, t) for code, t in zip(batch.column(1).to_pylist(), texts, strict=True)]
             offsets = np.zeros(len(lists) + 1, np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
@@ -132,16 +121,15 @@ def _sum_by_bucket(table: DataFrame, per_batch, size: int = BUCKETS) -> np.ndarr
     return out
 
 
-def _scores(flat: np.ndarray, offsets: np.ndarray, num: np.ndarray, den: np.ndarray, shrink: float, own_num=None, own_den=None) -> np.ndarray:
-    """Mean over each document's words of the words' deviation, weighted by its
-    square; optionally without the document's own contribution."""
+def _scores(flat: np.ndarray, offsets: np.ndarray, words: np.ndarray, shrink: float, own_num=None, own_den=None) -> np.ndarray:
+    """Weighted mean over each document's words; ``words`` has the rows sum,
+    count and weight.  Optionally without the document's own contribution."""
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
-    a, b = num[flat].astype(np.float64), den[flat].astype(np.float64)
+    a, b, weight = (x[flat].astype(np.float64) for x in words)
     if own_num is not None:
         a, b = a - own_num[row], b - own_den[row]
     dev = np.where(b > 1e-9, a / (np.maximum(b, 0.0) + shrink), 0.0)
-    weight = dev * dev
     top, low = np.bincount(row, weight * dev, n), np.bincount(row, weight, n)
     return np.divide(top, low, out=np.zeros(n), where=low > 1e-12)
 
@@ -167,9 +155,9 @@ def reading_levels(
     documents: DataFrame,
     labels: DataFrame,
     min_length: int = MIN_LENGTH,
-    rounds: int = 2,
+    tolerance: float = 0.01,
     shrink: float = 2.0,
-    trust: float = 0.1,
+    trust: float = 0.5,
     min_documents: int = 5,
     own_thresholds: int = 80,
 ) -> DataFrame:
@@ -178,8 +166,9 @@ def reading_levels(
 
     Grades that are null or outside 1..3 are ignored; of one rater's grades of
     a document the latest counts; of several raters the median.  Words of fewer
-    than ``min_documents`` documents carry nothing.  ``trust`` is the weight of
-    an estimated document beside a graded one.  A language with fewer than
+    than ``min_documents`` documents carry nothing.  ``trust`` is the weight
+    of all estimated documents together beside all graded ones.  Rounds go on
+    until the words' scores change by less than the part ``tolerance``.  A language with fewer than
     ``own_thresholds`` grades uses the common thresholds.  Without any grade
     every document gets the middle level.  Rows that repeat a doc_id give
     repeated rows; null texts and null keys give none; extra columns are ignored.
@@ -210,7 +199,11 @@ def reading_levels(
         total[0] += np.bincount(flat[keep], z[row[keep]], BUCKETS)
         total[1] += np.bincount(flat[keep], minlength=BUCKETS)
 
-    words = _sum_by_bucket(graded, clamp).astype(np.float32)
+    clamped = _sum_by_bucket(graded, clamp)
+    apart = clamped[0] / (clamped[1] + shrink)
+    weights = apart * apart
+    words = np.stack([*clamped, weights]).astype(np.float32)
+    light = trust * all_n / max(table.count() - all_n, 1)
 
     def graded_scores(words) -> DataFrame:
         """lang, level, score x grade sums and the histogram cells of graded documents."""
@@ -224,7 +217,7 @@ def reading_levels(
                 ok = shared.value[flat]
                 row = np.repeat(np.arange(len(z)), np.diff(offsets))[ok]
                 cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(z)))])
-                s = _scores(flat[ok], cut, held.value[0], held.value[1], shrink, z, np.ones(len(z)))
+                s = _scores(flat[ok], cut, held.value, shrink, z, np.ones(len(z)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("lang"), pa.array(np.clip(np.rint(label), 1, 3).astype(np.int32)), pa.array(z), pa.array(s)], names=["lang", "level", "z", "s"]
                 )
@@ -235,25 +228,29 @@ def reading_levels(
         r = graded_scores(words).agg(F.sum(F.col("z") * F.col("s")).alias("zs"), F.sum(F.col("s") * F.col("s")).alias("ss")).first()
         return r["zs"] / r["ss"] if r["ss"] else 1.0
 
-    for _ in range(rounds - 1):
-        gain, held = gain_of(words), spark.sparkContext.broadcast(words)
+    change = 1.0 if all_n else 0.0
+    while change > tolerance:  # ends: each round shrinks the change by the share of the estimated documents and of the tie to zero
+        held = spark.sparkContext.broadcast(words)
 
-        def spread_on(batch: pa.RecordBatch, total: np.ndarray, gain=gain, held=held) -> None:
+        def spread_on(batch: pa.RecordBatch, total: np.ndarray, held=held) -> None:
             flat, offsets = _lists(batch.column("words"))
-            mean = means_of(batch.column("lang"))
             label = np.asarray(batch.column("label").fill_null(np.nan))
+            n = len(label)
             ok = shared.value[flat]
-            row = np.repeat(np.arange(len(mean)), np.diff(offsets))[ok]
+            row = np.repeat(np.arange(n), np.diff(offsets))[ok]
             flat = flat[ok]
-            cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(mean)))])
-            guess = np.clip(mean + gain * _scores(flat, cut, held.value[0], held.value[1], shrink), 1, 3)
+            cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
             known = ~np.isnan(label)
-            weight = np.where(known, 1.0, trust)
-            z = (np.where(known, label, guess) - mean) * weight
+            weight = np.where(known, 1.0, light)
+            z = np.where(known, label - means_of(batch.column("lang")), _scores(flat, cut, held.value, shrink)) * weight
             total[0] += np.bincount(flat, z[row], BUCKETS)
             total[1] += np.bincount(flat, weight[row], BUCKETS)
 
-        words = _sum_by_bucket(table, spread_on).astype(np.float32)
+        before = words[0].astype(np.float64) / (words[1] + shrink)
+        sums = _sum_by_bucket(table, spread_on)
+        words = np.stack([*sums, weights]).astype(np.float32)
+        after, scale = sums[0] / (sums[1] + shrink), (weights * before * before).sum()
+        change = float(np.sqrt((weights * (after - before) ** 2).sum() / scale)) if scale > 0 else 0.0
 
     gain = gain_of(words)
 
@@ -277,7 +274,7 @@ def reading_levels(
             ok = shared.value[flat]
             row = np.repeat(np.arange(n), np.diff(offsets))[ok]
             at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
-            s = gain * _scores(flat[ok], at, final.value[0], final.value[1], shrink)
+            s = gain * _scores(flat[ok], at, final.value, shrink)
             langs = batch.column("lang").to_pylist()
             low = np.array([cut_of.get(x, common_cut)[0] for x in langs])
             high = np.array([cut_of.get(x, common_cut)[1] for x in langs])

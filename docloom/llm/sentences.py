@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.language import LanguageModel, code_of, learn_languages
 from docloom.runtime import spread, written
 
 # A type must make up at least this share of its language's tokens to enter a
@@ -40,12 +41,6 @@ SAYING = {
 SAYING_UNSPACED = "说 表示 称 指出 问道 说道 補充 补充 回答 述べた 言った 語った 話した กล่าว บอก"
 
 
-def language(lang: str | None) -> str:
-    """Two letters, '' if unknown: `vi-VI` and `VI` are `vi`."""
-    code = (lang or "").strip().lower().replace("_", "-").split("-")[0]
-    return code if len(code) == 2 else ""
-
-
 @lru_cache(1)
 def _heads():
     return re.compile(r"(?:\A|\n\s*\n|।)\s*[\"“«„]?([^\s\"“”«»„]+)").findall
@@ -80,10 +75,17 @@ def _tally(text: str, words: Counter, pairs: Counter) -> None:
         pairs[("", after)] += 1
 
 
-def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def _spaced(word: str) -> bool:
+    """Is this a word of a script that puts spaces between words?"""
+    return not ("\u0e00" <= word[0] <= "\u0eff" or "\u1000" <= word[0] <= "\u109f" or "\u1780" <= word[0] <= "\u17ff" or "\u2e80" <= word[0] <= "\u9fff")
+
+
+def counts(docs: DataFrame, text: str = "text", lang: str = "lang", languages: LanguageModel | None = None) -> DataFrame:
     """kind, lang, a, b, n.  Kind `type`: the type a (with its period, if it has
     one) occurs n times, of tokens in all as a = ''; `start`: b starts a sentence
-    n times; `pair`: b follows `a.`."""
+    n times; `pair`: b follows `a.`.  Documents without a language count under
+    the one that ``languages`` guesses."""
+    shared = docs.sparkSession.sparkContext.broadcast(languages or LanguageModel())
     kept = spread(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +98,10 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
                 for w, n in words[code].items():
                     types[""] += n
                     w = w.lstrip(_BEFORE).rstrip(_AFTER)
-                    if w and len(w) <= 16 and (_TYPE.match(w) or _ORDINAL.match(w)):
+                    if w and _spaced(w) and (_TYPE.match(w) or _ORDINAL.match(w)):
                         types[w] += n
                 rows = [("type", code, w, None, n) for w, n in types.items()]
-                rows += [("pair" if a else "start", code, a, b[:24], n) for (a, b), n in pairs[code].items() if len(a) <= 8]
+                rows += [("pair" if a else "start", code, a, b, n) for (a, b), n in pairs[code].items()]
                 for at in range(0, len(rows), 20000):
                     part = list(zip(*rows[at : at + 20000], strict=True))
                     yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in part[:4]], pa.array(part[4], pa.int64())], names=["kind", "lang", "a", "b", "n"])
@@ -108,7 +110,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
         for batch in batches:
             for t, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if t and (code := language(code)):
+                if t and (code := shared.value.code(code, t)):
                     if code not in words:
                         words[code], pairs[code] = Counter(), Counter()
                     _tally(t, words[code], pairs[code])
@@ -120,14 +122,15 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return partial.groupBy("kind", "lang", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict]:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", languages: LanguageModel | None = None) -> dict[str, dict]:
     """{language: {"lead", "trail", "start", "after_number"}}.
 
     ``lead`` abbreviations stand before a name or number and end nothing,
     ``trail`` ones may end a sentence; ``start`` are frequent sentence
     starters, ``after_number`` words that follow an ordinal's period.
     """
-    table = written(counts(docs, text, lang), "sentence-counts")
+    languages = languages or learn_languages(docs, text, lang)
+    table = written(counts(docs, text, lang, languages), "sentence-counts")
     types = written(table.where("kind = 'type' and a <> ''").select("lang", "a", "n"), "sentence-types")
     pairs = written(table.where("kind <> 'type'").select("kind", "lang", "a", "b", "n"), "sentence-pairs")
     all_n = table.where("kind = 'type' and a = ''").select("lang", F.col("n").alias("all_n"))
@@ -152,7 +155,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     inner = F.length("w") - letters
     cand = (
         with_dot.join(size, "lang")
-        .where(F.col("w").rlike(r"^[\p{L}\p{M}]+(?:[.\-]+[\p{L}\p{M}]+)*$") & ~F.col("w").contains("..") & (letters <= 8))
+        .where(F.col("w").rlike(r"^[\p{L}\p{M}]+(?:[.\-]+[\p{L}\p{M}]+)*$") & ~F.col("w").contains(".."))
         .where((F.col("c1") >= F.lit(FLOOR) * F.col("all_n")) & (F.col("c1") >= LEAST))
         .join(without, ["lang", "w"], "left")
         .fillna(0, ["c0"])
@@ -322,17 +325,16 @@ def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_spans(text: str | None, lang: str | None, models: dict[str, dict]) -> list[tuple[int, int]]:
+_EMPTY: dict = {"lead": set(), "trail": set(), "start": set(), "after_number": set()}
+
+
+def sentence_spans(text: str | None, lang: str | None, models: dict[str, dict], languages: LanguageModel | None = None) -> list[tuple[int, int]]:
     """Units as (start, end), without white space at either end."""
     if not text or not text.strip():
         return []
-    code = language(lang)
-    model = models.get(code)
+    model = models.get(code_of(lang))
     if model is None:
-        words = text[:600].split()
-        best = max(models, key=lambda k: sum(w in models[k]["start"] for w in words), default=None)
-        empty: dict = {"lead": set(), "trail": set(), "start": set(), "after_number": set()}
-        guess = models[best] if best is not None else empty
+        guess = models.get(languages.guess(text) if languages else "", _EMPTY)
         # of other languages the abbreviations that end nothing, unless the guessed one has them otherwise
         lead = set().union(*(m["lead"] for m in models.values())) - guess["trail"]
         model = {**guess, "lead": lead}
@@ -479,24 +481,29 @@ def _is_end(text: str, b: int, stop: str, i: int, j: int, opened: int, close: in
     return True
 
 
-def split_sentences(docs: DataFrame, models: dict[str, dict], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def split_sentences(
+    docs: DataFrame, models: dict[str, dict], key: str = "doc_id", text: str = "text", lang: str = "lang", languages: LanguageModel | None = None
+) -> DataFrame:
     """``(key, start_char, end_char)``: the sentence units of every document.
 
     Offsets are code points into the stored text.  Null, empty and blank texts
     have no units; a text without any sentence end is one unit; repeated rows
-    give repeated units; a language that is null or unknown is guessed from the
-    learned sentence starters; other columns are ignored.
+    give repeated units; a language that is null or unknown is guessed by
+    ``languages`` from the whole text; other columns are ignored.  The models
+    are broadcast; they have at most 1 / FLOOR entries a language.
     """
     kept = spread(docs.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang")))
     kind = kept.schema["_key"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((models, languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, languages = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows, starts, ends = [], [], []
                 for n, (t, code) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    for a, b in sentence_spans(t, code, models):
+                    for a, b in sentence_spans(t, code, models, languages):
                         rows.append(n)
                         starts.append(a)
                         ends.append(b)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import canonical, mixing, neardup, reading, sentences, spans, splitting, tokens, truncation
+from docloom.llm import canonical, language, mixing, neardup, reading, sentences, spans, splitting, tokens, truncation
 
 WORDS = "the of river city tower market because water green small light house under winter paper bridge garden stone train coast".split()
 
@@ -399,6 +399,20 @@ def test_sentence_table(spark):
     assert sentences.split_sentences(docs.limit(0), {}).count() == 0
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    words = {"en": "the houses of and with this which there", "de": "der Häuser und nicht mit dieser welche", "th": "บ้านของเราและที่นี่", "fr": "les maisons et dans une avec où"}
+    rng = random.Random(1)
+    rows = [(i * 10 + j, " ".join(rng.choices(w.split(), k=40)), code) for i, (code, w) in enumerate(words.items()) for j in range(8)]
+    rows += [(500, "x", None), (501, None, "en"), (502, "", "und"), (503, None, None)]
+    model = language.learn_languages(clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert model.codes == ("de", "en", "fr", "th")
+    foreign = "der Häuser und " * 20
+    assert model.guess(foreign + "the houses of and with this which " * 200) == "en"  # a long foreign head doesn't decide
+    assert [model.guess(t) for t in (None, "", "x")] == ["", "", ""] and model.code("EN_us", "der Häuser und nicht") == "en"
+    assert language.learn_languages(spark.createDataFrame([], "text string, lang string")).guess("abc") == ""
+    assert [language.code_of(x) for x in ("vi-VI", " EN ", "und", None, "12", "Français")] == ["vi", "en", "", "", "", ""]
+
+
 def test_abbreviations_are_learned(spark):
     rng = random.Random(6)
     names = [f"{a}{b}" for a in ("Bran", "Klor", "Stev", "Mour", "Gleb") for b in ("dis", "kun", "tal", "wen")]

@@ -95,15 +95,35 @@ def graph(documents: DataFrame, labels: DataFrame, min_length: int = MIN_LENGTH)
     return kept.mapInArrow(run, "doc_id long, lang string, words array<int>").join(grades, "doc_id", "left")
 
 
-def _sum_by_bucket(table: DataFrame, per_batch, size: int = BUCKETS) -> np.ndarray:
+class _Shared:
+    """Arrays for the tasks, compressed (most buckets are empty) and broadcast.
+
+    ``close`` removes the copies of the executors once they are of no more use.
+    """
+
+    def __init__(self, spark, arrays: np.ndarray):
+        self.shape, self.kind = arrays.shape, arrays.dtype
+        self.held = spark.sparkContext.broadcast(pa.compress(arrays.tobytes(), codec="zstd", asbytes=True))
+        self.close = self.held.destroy
+
+    def __getstate__(self):
+        return {"shape": self.shape, "kind": self.kind, "held": self.held}
+
+    def read(self) -> np.ndarray:
+        size = int(np.prod(self.shape)) * self.kind.itemsize
+        return np.frombuffer(pa.decompress(self.held.value, size, codec="zstd"), self.kind).reshape(self.shape)
+
+
+def _sum_by_bucket(table: DataFrame, prepare, size: int = BUCKETS) -> np.ndarray:
     """Sum (num, den) over all documents into an array [2, size].
 
-    Each task sums its documents into an array; what isn't zero is added up in
+    ``prepare()`` is called once in each task and gives the function of a batch
+    and the sums.  Each task sums its documents into an array; what isn't zero is added up in
     the shuffle.  At most ``size`` rows reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size))
+        total, per_batch = np.zeros((2, size)), prepare()
         for batch in batches:
             per_batch(batch, total)
         at = np.nonzero(total[1])[0]
@@ -188,93 +208,108 @@ def reading_levels(
         flat, _ = _lists(batch.column("words"))
         total[1] += np.bincount(flat, minlength=BUCKETS)
 
-    used = _sum_by_bucket(table, count)[1] >= min_documents
-    shared = spark.sparkContext.broadcast(used)
+    used = _sum_by_bucket(table, lambda: count)[1] >= min_documents
+    shared = _Shared(spark, used)
 
-    def clamp(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        flat, offsets = _lists(batch.column("words"))
-        z = np.asarray(batch.column("label")) - means_of(batch.column("lang"))
-        row = np.repeat(np.arange(len(z)), np.diff(offsets))
-        keep = shared.value[flat]
-        total[0] += np.bincount(flat[keep], z[row[keep]], BUCKETS)
-        total[1] += np.bincount(flat[keep], minlength=BUCKETS)
+    def clamp():
+        used = shared.read()
+
+        def per_batch(batch: pa.RecordBatch, total: np.ndarray) -> None:
+            flat, offsets = _lists(batch.column("words"))
+            z = np.asarray(batch.column("label")) - means_of(batch.column("lang"))
+            row = np.repeat(np.arange(len(z)), np.diff(offsets))
+            keep = used[flat]
+            total[0] += np.bincount(flat[keep], z[row[keep]], BUCKETS)
+            total[1] += np.bincount(flat[keep], minlength=BUCKETS)
+
+        return per_batch
 
     clamped = _sum_by_bucket(graded, clamp)
     apart = clamped[0] / (clamped[1] + shrink)
     weights = apart * apart
     words = np.stack([*clamped, weights]).astype(np.float32)
+    shared.close()
+    shared = _Shared(spark, used & (weights > 0))  # the others have no edges of any weight
     light = trust * all_n / max(table.count() - all_n, 1)
 
-    def graded_scores(words) -> DataFrame:
-        """lang, level, score x grade sums and the histogram cells of graded documents."""
-        held = spark.sparkContext.broadcast(words)
+    def graded_scores(held: _Shared) -> DataFrame:
+        """lang, level, grade as a deviation and score without it of the graded documents."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            used, words = shared.read(), held.read()
             for batch in batches:
                 flat, offsets = _lists(batch.column("words"))
                 label = np.asarray(batch.column("label"))
                 z = label - means_of(batch.column("lang"))
-                ok = shared.value[flat]
+                ok = used[flat]
                 row = np.repeat(np.arange(len(z)), np.diff(offsets))[ok]
                 cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(z)))])
-                s = _scores(flat[ok], cut, held.value, shrink, z, np.ones(len(z)))
+                s = _scores(flat[ok], cut, words, shrink, z, np.ones(len(z)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("lang"), pa.array(np.clip(np.rint(label), 1, 3).astype(np.int32)), pa.array(z), pa.array(s)], names=["lang", "level", "z", "s"]
                 )
 
         return graded.mapInArrow(run, "lang string, level int, z double, s double")
 
-    def gain_of(words) -> float:
-        r = graded_scores(words).agg(F.sum(F.col("z") * F.col("s")).alias("zs"), F.sum(F.col("s") * F.col("s")).alias("ss")).first()
+    def gain_of(scored: DataFrame) -> float:
+        r = scored.agg(F.sum(F.col("z") * F.col("s")).alias("zs"), F.sum(F.col("s") * F.col("s")).alias("ss")).first()
         return r["zs"] / r["ss"] if r["ss"] else 1.0
 
     change = 1.0 if all_n else 0.0
     while change > tolerance:  # ends: each round shrinks the change by the share of the estimated documents and of the tie to zero
-        held = spark.sparkContext.broadcast(words)
+        held = _Shared(spark, words)
 
-        def spread_on(batch: pa.RecordBatch, total: np.ndarray, held=held) -> None:
-            flat, offsets = _lists(batch.column("words"))
-            label = np.asarray(batch.column("label").fill_null(np.nan))
-            n = len(label)
-            ok = shared.value[flat]
-            row = np.repeat(np.arange(n), np.diff(offsets))[ok]
-            flat = flat[ok]
-            cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
-            known = ~np.isnan(label)
-            weight = np.where(known, 1.0, light)
-            z = np.where(known, label - means_of(batch.column("lang")), _scores(flat, cut, held.value, shrink)) * weight
-            total[0] += np.bincount(flat, z[row], BUCKETS)
-            total[1] += np.bincount(flat, weight[row], BUCKETS)
+        def spread_on(held=held):
+            used, words = shared.read(), held.read()
+
+            def per_batch(batch: pa.RecordBatch, total: np.ndarray) -> None:
+                flat, offsets = _lists(batch.column("words"))
+                label = np.asarray(batch.column("label").fill_null(np.nan))
+                n = len(label)
+                ok = used[flat]
+                row = np.repeat(np.arange(n), np.diff(offsets))[ok]
+                flat = flat[ok]
+                cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+                known = ~np.isnan(label)
+                weight = np.where(known, 1.0, light)
+                z = np.where(known, label - means_of(batch.column("lang")), _scores(flat, cut, words, shrink)) * weight
+                total[0] += np.bincount(flat, z[row], BUCKETS)
+                total[1] += np.bincount(flat, weight[row], BUCKETS)
+
+            return per_batch
 
         before = words[0].astype(np.float64) / (words[1] + shrink)
         sums = _sum_by_bucket(table, spread_on)
+        held.close()
         words = np.stack([*sums, weights]).astype(np.float32)
         after, scale = sums[0] / (sums[1] + shrink), (weights * before * before).sum()
         change = float(np.sqrt((weights * (after - before) ** 2).sum() / scale)) if scale > 0 else 0.0
 
-    gain = gain_of(words)
+    final = _Shared(spark, words)
+    scored = written(graded_scores(final), "reading-graded")
+    gain = gain_of(scored)
 
     def bin_of(score: np.ndarray) -> np.ndarray:
         return np.clip(np.floor((score + 4) * (BINS / 8)), 0, BINS - 1)
 
     cell = F.floor(F.least(F.greatest((F.col("s") * gain + 4) * (BINS / 8), F.lit(0)), F.lit(BINS - 1))).cast("int")
     hist: dict[str, np.ndarray] = {}
-    for r in graded_scores(words).groupBy("lang", "level", cell.alias("bin")).count().collect():
+    for r in scored.groupBy("lang", "level", cell.alias("bin")).count().collect():
         for key in (r["lang"], None):
             hist.setdefault(key, np.zeros((3, BINS)))[r["level"] - 1, r["bin"]] += r["count"]
     cuts = {k: _best_cuts(h) for k, h in hist.items()}
     common_cut = cuts.get(None, (BINS / 8 * 3.5, BINS / 8 * 4.5, 0))
     cut_of = {k: v for k, v in cuts.items() if k is not None and v[2] >= own_thresholds}
-    final = spark.sparkContext.broadcast(words)
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, words = shared.read(), final.read()
         for batch in batches:
             flat, offsets = _lists(batch.column("words"))
             n = len(offsets) - 1
-            ok = shared.value[flat]
+            ok = used[flat]
             row = np.repeat(np.arange(n), np.diff(offsets))[ok]
             at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
-            s = gain * _scores(flat[ok], at, final.value, shrink)
+            s = gain * _scores(flat[ok], at, words, shrink)
             langs = batch.column("lang").to_pylist()
             low = np.array([cut_of.get(x, common_cut)[0] for x in langs])
             high = np.array([cut_of.get(x, common_cut)[1] for x in langs])

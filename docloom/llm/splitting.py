@@ -1,14 +1,18 @@
 """Problem 4: cut oversized texts into pieces at natural boundaries.
 
-A text is read as a tree: headed sections, paragraphs, lines (list items),
-sentences, clauses, words.  Packing works bottom-up: neighbouring subtrees are
-merged while they fit, and only a subtree that is itself too large is opened.
-A run without white space or punctuation that exceeds the limit has no natural
-boundary and is cut hard.
+A text is parsed into a tree: sections nested by the depth of their headings,
+blocks between blank lines, list items nested by their indentation, lines,
+sentences, clauses, words.  Packing works bottom-up on it: whole neighbouring
+subtrees of one parent are merged while they fit, and only a subtree that is
+itself too large is opened.  What comes out of an opened one stays by itself, so
+no piece holds the end of one section and the start of another unless it holds
+both whole.  A run without white space or punctuation that exceeds the limit has
+no natural boundary and is cut hard.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,56 +21,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEVELS = ("section", "paragraph", "line", "sentence", "clause", "word", "hard")
+LEVELS = ("section", "block", "item", "line", "sentence", "clause", "word", "hard")
+NESTED = (0, 2)  # levels whose nodes hold nodes of the same level
+DEEPEST = 60  # further levels of indentation are read as lines of their item
 
 
 @lru_cache(1)
-def _cuts():
-    """For each level the pattern after whose matches a node may be cut."""
+def _patterns():
     import regex
 
-    return [
-        regex.compile(p)
-        for p in (
-            r"\n(?=#{1,6}\s|[^\n]{1,80}\n(?:={3,}|-{3,})\n)",
-            r"\n\s*\n\s*",
-            r"\n\s*",
-            r"(?:[.!?…।]+[\p{Pe}\p{Pf}\"']*\s+|[。！？]+[\p{Pe}\p{Pf}\"']*\s*)",
-            r"[,;:，；：、–—]\s*",
-            r"\s|\p{P}",
-        )
-    ]
-
-
-def _children(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
-    out, at = [], start
-    for m in _cuts()[level].finditer(text, start, end):
-        if at < m.end() < end:
-            out.append((at, m.end()))
-            at = m.end()
-    out.append((at, end))
-    return out
-
-
-def _pack(text: str, start: int, end: int, level: int, room: int, limit: int) -> list[tuple[int, int, int]]:
-    """(start, end, level of the cut at the end) of consecutive cores: at most
-    ``room`` long, a single run without a boundary up to ``limit``."""
-    if end - start <= room:
-        return [(start, end, level)]
-    if level == len(LEVELS) - 1:
-        if end - start <= limit:
-            return [(start, end, level - 1)]
-        return [(at, min(at + room, end), level if at + room < end else level - 1) for at in range(start, end, room)]
-    packed: list[tuple[int, int, int]] = []
-    for a, b in _children(text, start, end, level):
-        parts = _pack(text, a, b, level + 1, room, limit) if b - a > room else [(a, b, level)]
-        parts[-1] = (parts[-1][0], b, level)
-        for part in parts:
-            if packed and packed[-1][2] < len(LEVELS) - 1 and part[1] - packed[-1][0] <= room:
-                packed[-1] = (packed[-1][0], part[1], part[2])
+    return {
+        "heading": regex.compile(r"^(?:(#{1,6})[^\S\n]|[^\S\n]*\S[^\n]{0,79}\n(={3,}|-{3,})[^\S\n]*$)", regex.M),
+        # a short line alone between blank lines that doesn't end like a sentence
+        "title": regex.compile(r"(?:\A|\n[^\S\n]*\n)(?=[^\S\n]*\w[^\n]{1,78}(?<![.!?…。！？।:;,，、])[^\S\n]*\n[^\S\n]*\n\s*\S)"),
+        "item": regex.compile(r"^([^\S\n]*)(?:[-*•–—◦▪]|\(?\w{1,3}[.)])[^\S\n]+(?=\S)", regex.M),
+        "ends": {
+            "block": regex.compile(r"\n\s*\n\s*"),
+            "line": regex.compile(r"\n\s*"),
+            "sentence": regex.compile(r"(?:[.!?…।]+[\p{Pe}\p{Pf}\"']*\s+|[。！？]+[\p{Pe}\p{Pf}\"']*\s*)"),
+            "clause": regex.compile(r"[,;:，；：、–—]\s*"),
+            "word": regex.compile(r"\s|\p{P}"),
+        },
+    }
+
+
+class Tree:
+    """The structure of a text; nodes are spans, their children found on demand."""
+
+    def __init__(self, text: str):
+        p = _patterns()
+        self.text = text
+        depths = {m.end(): 7 for m in p["title"].finditer(text)}
+        for m in p["heading"].finditer(text):
+            depths[m.start()] = len(m[1]) if m[1] else 1 if m[2][0] == "=" else 2
+        items = {m.start(): len(m[1].expandtabs()) for m in p["item"].finditer(text)}
+        # (places, depth at each) of the two kinds of nested nodes
+        self.nested = {0: self._sorted({k: v for k, v in depths.items() if k not in items}), 2: self._sorted(items)}
+
+    @staticmethod
+    def _sorted(marks: dict[int, int]) -> tuple[list[int], list[int]]:
+        places = sorted(marks)
+        return places, [marks[i] for i in places]
+
+    def children(self, start: int, end: int, level: int) -> list[tuple[int, int]]:
+        """The node itself if it has none at this level."""
+        if level in NESTED:
+            places, depths = self.nested[level]
+            i, j = bisect_right(places, start), bisect_left(places, end)
+            top = min(depths[i:j], default=0)
+            cuts = [places[k] for k in range(i, j) if depths[k] == top]
+        else:
+            cuts = [m.end() for m in _patterns()["ends"][LEVELS[level]].finditer(self.text, start, end) if start < m.end() < end]
+        return list(zip([start, *cuts], [*cuts, end], strict=True))
+
+    def pack(self, start: int, end: int, room: int, limit: int, level: int = 0, depth: int = 0) -> list[tuple[int, int, int]]:
+        """(start, end, level of the cut at the end) of consecutive cores: at most
+        ``room`` long, a single run without a boundary up to ``limit``."""
+        if end - start <= room:
+            return [(start, end, level)]
+        if level == len(LEVELS) - 1:
+            if end - start <= limit:
+                return [(start, end, level - 1)]
+            return [(at, min(at + room, end), level if at + room < end else level - 1) for at in range(start, end, room)]
+        parts = self.children(start, end, level)
+        if len(parts) == 1:
+            return self.pack(start, end, room, limit, level + 1)
+        below = level if level in NESTED and depth < DEEPEST else level + 1
+        packed: list[tuple[int, int, int]] = []
+        whole = False  # may the last piece take up another sibling?
+        for a, b in parts:
+            if b - a > room:
+                opened = self.pack(a, b, room, limit, below, depth + 1 if below == level else 0)
+                packed += [*opened[:-1], (opened[-1][0], b, level)]
+                whole = False
+            elif whole and b - packed[-1][0] <= room:
+                packed[-1] = (packed[-1][0], b, level)
             else:
-                packed.append(part)
-    return packed
+                packed.append((a, b, level))
+                whole = True
+        return packed
 
 
 def pieces_of(text: str | None, limit: int = 2000, overlap: int = 150) -> list[tuple[int, int, int, str]]:
@@ -80,8 +113,8 @@ def pieces_of(text: str | None, limit: int = 2000, overlap: int = 150) -> list[t
     if len(text) <= limit:
         return [(0, 0, len(text), "end")]
     out: list[tuple[int, int, int, str]] = []
-    word = _cuts()[5]
-    for a, b, level in _pack(text, 0, len(text), 0, limit - overlap, limit):
+    word = _patterns()["ends"]["word"]
+    for a, b, level in Tree(text).pack(0, len(text), limit - overlap, limit):
         start = a
         if out:
             low = max(a - min(overlap, limit - (b - a)), out[-1][0])

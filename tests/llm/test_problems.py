@@ -307,6 +307,27 @@ def test_pieces_of_random_texts():
             check_pieces(text, splitting.pieces_of(text, 300, 40), 300, 40)
 
 
+def test_siblings_are_merged_whole():
+    def part(mark, n):
+        return mark + "\n\n" + " ".join("word" for _ in range(n // 5)) + ".\n\n"
+
+    # two small sections, a large one with two subsections, another small one
+    text = part("# One", 500) + part("# Two", 600) + "# Three\n\n" + part("## A", 1500) + part("## B", 1200) + part("# Four", 300)
+    cores = [text[c:e] for _, c, e, _ in splitting.pieces_of(text)]
+    assert [x.lstrip().split("\n")[0] for x in cores] == ["# One", "# Three", "## B", "# Four"]
+    assert "# Two" in cores[0] and "## A" in cores[1]
+    # the tail of an opened section isn't joined with the next section
+    text = "# One\n\n" + "\n\n".join("a sentence here. " * 40 for _ in range(4)) + "\n\n# Two\n\n" + "short. " * 20
+    cores = [text[c:e] for _, c, e, _ in splitting.pieces_of(text)]
+    assert cores[-1].startswith("# Two") and all("# Two" not in x for x in cores[:-1])
+    # nested lists: an item with its sub-items is one node
+    items = "".join(f"- item {i}\n" + "".join(f"  - sub {i} {j} {'x ' * 60}\n" for j in range(4)) for i in range(9))
+    cores = [items[c:e] for _, c, e, _ in splitting.pieces_of(items)]
+    assert len(cores) > 2 and all(x.startswith("- item") for x in cores)
+    deep = "".join(" " * i + "- " + "deep " * 30 + "\n" for i in range(200))
+    check_pieces(deep, splitting.pieces_of(deep))
+
+
 def test_split_table(spark):
     rows = [(1, "w " * 1500), (1, "w " * 1500), (2, "short"), (3, None), (None, "w " * 1500), (4, "x" * 3000), (5, "")]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))

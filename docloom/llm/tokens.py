@@ -43,6 +43,11 @@ _NONE: dict = {}
 _BYTES = [bytes((b,)) for b in range(256)]
 
 
+def _read(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
 class _State:
     __slots__ = ("base", "lasts", "live", "next")
 
@@ -67,19 +72,20 @@ class _Words(dict):
 class PrefixEncoder:
     """Encoder of single texts; ``encode(None)`` and ``encode("")`` are ``[]``."""
 
-    def __init__(self, vocabulary: str = DEFAULT_VOCABULARY):
+    def __init__(self, vocabulary: str | bytes = DEFAULT_VOCABULARY):
+        """``vocabulary``: the path of the file or what it holds."""
         import regex
 
         self.ranks: dict[bytes, int] = {}
-        with open(vocabulary, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    piece, rank = line.split()
-                    self.ranks[base64.b64decode(piece)] = int(rank)
+        for line in (vocabulary if isinstance(vocabulary, bytes) else _read(vocabulary)).splitlines():
+            if line.strip():
+                piece, rank = line.split()
+                self.ranks[base64.b64decode(piece)] = int(rank)
         self.pieces = {rank: piece for piece, rank in self.ranks.items()}
         self.sizes = {rank: len(piece) for rank, piece in self.pieces.items()}
         self.opens = {piece[:n] for piece in self.ranks for n in range(1, len(piece))}
-        self.split = regex.compile(PRETOKEN).findall
+        pattern = regex.compile(PRETOKEN)
+        self.split, self.splits = pattern.findall, pattern.finditer
         self._kept: dict[tuple[int, int], bool] = {}
         self._halves: dict[int, tuple[bytes, bytes] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
@@ -222,9 +228,9 @@ class PrefixEncoder:
 class GrowingText:
     """A text whose encoding follows appends and edits exactly.
 
-    Pre-tokens can only change near an edit: the splitter looks at most one
-    pre-token back, so re-encoding starts at the one before the edit and stops
-    as soon as the splits fall together again.
+    Pre-tokens can only change near an edit: a match depends on nothing before it
+    and on one character behind it, so splitting starts two pre-tokens before the
+    edit and stops as soon as a split behind it falls together with an old one.
     """
 
     def __init__(self, encoder: PrefixEncoder, text: str = ""):
@@ -237,7 +243,9 @@ class GrowingText:
         self.text += more
         self.parts = keep + self.encoder.split(tail)
 
-    def replace(self, start: int, end: int, new: str) -> None:
+    def replace(self, start: int, end: int, new: str) -> int:
+        """Puts ``new`` in the place of ``text[start:end]``; the number of
+        pre-tokens that were split again."""
         at, first = 0, 0
         while first < len(self.parts) and at + len(self.parts[first]) <= start:
             at += len(self.parts[first])
@@ -247,20 +255,38 @@ class GrowingText:
                 first -= 1
                 at -= len(self.parts[first])
         self.text = self.text[:start] + new + self.text[end:]
-        self.parts = self.parts[:first] + self.encoder.split(self.text[at:])
+        # old splits behind the edit: where they are now, and which part starts there
+        old, place = first, at
+        while old < len(self.parts) and place < end:
+            place += len(self.parts[old])
+            old += 1
+        place += len(new) - (end - start)
+        fresh: list[str] = []
+        for match in self.encoder.splits(self.text, at):
+            while old < len(self.parts) and place < match.start():
+                place += len(self.parts[old])
+                old += 1
+            if old < len(self.parts) and place == match.start():
+                break
+            fresh.append(match[0])
+        else:
+            old = len(self.parts)
+        self.parts[first:old] = fresh
+        return len(fresh)
 
     def ids(self) -> list[int]:
         return list(chain.from_iterable(map(self.encoder.words.__getitem__, self.parts)))
 
 
-_ENCODERS: dict[str, PrefixEncoder] = {}
+_ENCODERS: dict[int, PrefixEncoder] = {}
 
 
-def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> PrefixEncoder:
+def encoder(vocabulary: bytes) -> PrefixEncoder:
     """One encoder for each worker process and vocabulary."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = PrefixEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    key = hash(vocabulary)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PrefixEncoder(vocabulary)
+    return _ENCODERS[key]
 
 
 @contextmanager
@@ -291,9 +317,10 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     """
     kept = spread(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     kind = kept.schema["_key"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))  # the driver reads the file (1 MB), the workers needn't have it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(shared.value).encode
         for batch in batches:
             for part in _slices(batch):
                 with _no_collector():
@@ -312,10 +339,11 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
 def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """The columns ``keep`` and ``tokens`` (int): the length of the encoding."""
     kept = spread(docs.select(*keep, F.col(text).alias("_text")))
+    shared = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(shared.value).encode
         for batch in batches:
             with _no_collector():
                 sizes = [len(encode(t)) for t in batch.column(len(keep)).to_pylist()]

@@ -472,7 +472,7 @@ def test_encoding_is_exact(reference, sf_dir):
 
 def test_memories_may_be_dropped(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_STATES", 50)
-    encoder, plain = tokens.PrefixEncoder(), tokens.encoder()
+    encoder, plain = tokens.PrefixEncoder(), tokens.PrefixEncoder()
     rng = random.Random(2)
     for _ in range(50):
         t = prose(rng, 20)
@@ -480,7 +480,7 @@ def test_memories_may_be_dropped(monkeypatch):
 
 
 def test_growing_text_follows_appends_and_edits():
-    encoder, rng = tokens.encoder(), random.Random(12)
+    encoder, rng = tokens.PrefixEncoder(), random.Random(12)
     text = tokens.GrowingText(encoder, "Start  ")
     for _ in range(120):
         if rng.random() < 0.5:
@@ -489,6 +489,8 @@ def test_growing_text_follows_appends_and_edits():
             a = rng.randint(0, len(text.text))
             text.replace(a, min(len(text.text), a + rng.randint(0, 6)), rng.choice(["", " ", "new", "'s", "\n"]))
         assert text.ids() == encoder.encode(text.text)
+    long = tokens.GrowingText(encoder, prose(rng, 4000))
+    assert long.replace(9000, 9004, "edit") < 12 and long.ids() == encoder.encode(long.text)
 
 
 def test_encoded_table(spark):

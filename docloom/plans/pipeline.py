@@ -7,7 +7,7 @@ loop.  Work on a text stays in its row; pairs within a sample run in blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from docloom.config import SUMMARY_BUDGETS, GraphWeights, PipelineConfig
 from docloom.functions import text as TX
 from docloom.functions.vectors import EmbeddingProvider, HashEmbedding, with_embedding
 from docloom.operators import dedup, evaluate, graph, phrases, salience, segments
+from docloom.operators.recognise import Recogniser
 from docloom.plans import prompts
 from docloom.plans.providers import LeadSummarizer, Summarizer, with_summary
 from docloom.runtime import spread, written
@@ -112,7 +113,7 @@ class Base:
     parts: DataFrame | None
 
 
-def run(docs: DataFrame, config: PipelineConfig | None = None, provider: EmbeddingProvider | None = None, summarizer: Summarizer | None = None) -> Run:
+def run(docs: DataFrame, config: PipelineConfig | None = None, provider: EmbeddingProvider | None = None, summarizer: Summarizer | None = None, models: Mapping[str, Callable[[], Recogniser]] | None = None) -> Run:
     """All relations of a run over all samples.
 
     Samples without any sentence still get a (merged, empty) summary.  Null
@@ -120,20 +121,25 @@ def run(docs: DataFrame, config: PipelineConfig | None = None, provider: Embeddi
     sample.
     """
     config, provider = config or PipelineConfig(), provider or HashEmbedding()
-    return finish(base(docs, config, provider), config, provider, summarizer)
+    return finish(base(docs, config, provider, models), config, provider, summarizer)
 
 
 def run_grid(
-    docs: DataFrame, weights: list[GraphWeights], config: PipelineConfig | None = None, provider: EmbeddingProvider | None = None, summarizer: Summarizer | None = None
+    docs: DataFrame,
+    weights: list[GraphWeights],
+    config: PipelineConfig | None = None,
+    provider: EmbeddingProvider | None = None,
+    summarizer: Summarizer | None = None,
+    models: Mapping[str, Callable[[], Recogniser]] | None = None,
 ) -> Iterator[Run]:
     """One run for each setting of the weights; everything before them is shared."""
     config, provider = config or PipelineConfig(), provider or HashEmbedding()
-    shared = base(docs, config, provider)
+    shared = base(docs, config, provider, models)
     for w in weights:
         yield finish(shared, replace(config, alpha=w.alpha, beta=w.beta), provider, summarizer)
 
 
-def base(docs: DataFrame, config: PipelineConfig, provider: EmbeddingProvider) -> Base:
+def base(docs: DataFrame, config: PipelineConfig, provider: EmbeddingProvider, models: Mapping[str, Callable[[], Recogniser]] | None = None) -> Base:
     docs = prepare(docs)
     chunks = salience.chunk_support(
         make_chunks(docs, config, provider), provider, config.evidence_max_tokens, config.salience, config.pacsum_beta, config.pacsum_lambda1, config.pacsum_lambda2
@@ -141,7 +147,7 @@ def base(docs: DataFrame, config: PipelineConfig, provider: EmbeddingProvider) -
     chunks = written(chunks, "chunks")
     slim = chunks.select(SAMPLE, CHUNK, "document_id", "position", "embedding")
 
-    extracted = phrases.extract(chunks, [SAMPLE, CHUNK], "text")
+    extracted = phrases.extract(chunks, [SAMPLE, CHUNK], "text", "lang", models)
     mapped = written(phrases.phrase_map(extracted, [SAMPLE, CHUNK]), "phrases")
     typed = written(phrases.canonicalise(mapped, SAMPLE, [CHUNK], config.entity_merge_threshold, provider), "phrases")
 

@@ -321,39 +321,39 @@ def hash_embedding(spark, sf_dir):
 
 # -------------------------------------------------------------------- phrases
 
-_LINE_TEXT = """CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' % of USD ' || CAST(l_partkey AS VARCHAR) || ' million on ' || strftime(l_shipdate, '%d/%m/%Y')"""
-_FACT_SQL = r"""unnest(list_concat(
-  list_transform(regexp_extract_all(t, '\b\d+(?:[,.]\d+)?\s?%'), lambda m: {'k': 'percent', 'p': m}),
-  list_transform(regexp_extract_all(t, '(?i)(?:\$|USD|VND|đồng|tỷ|triệu)\s?\d+(?:[,.]\d+)?(?:\s?(?:billion|million|trillion|tỷ|triệu))?|\d+(?:[,.]\d+)?\s?(?:billion|million|trillion|tỷ|triệu)\s?(?:đồng|USD|VND)?'), lambda m: {'k': 'money', 'p': m}),
-  list_transform(regexp_extract_all(t, '\b\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?\b|\b\d{4}\b'), lambda m: {'k': 'date', 'p': m})))"""
-
-
-@query(f"""SELECT k, l_linenumber, x.k AS phrase_type, x.p AS phrase FROM (SELECT l_orderkey AS k, l_linenumber, {_FACT_SQL} AS x FROM (SELECT l_orderkey, l_linenumber, {_LINE_TEXT} AS t FROM lineitem))""")
+# SQL's regular expressions know word bounds and word characters in ASCII only.  So every run of word characters is put
+# between two marks first, and a bound is written as the mark.
+_W = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}"
+_SP = r"[\t-\r \x{85}\p{Z}]"
+_MARKED = f"regexp_replace(text, '([{_W}]+)', chr(1) || '\\1' || chr(2), 'g')"
+_UNMARK = r"regexp_replace({}, '[\x01\x02]', '', 'g')"
+_NUM = r"\p{Nd}+(?:[,.]\p{Nd}+)?"
+_MONEY = rf"(?i)(?:\$|USD|VND|đồng|tỷ|triệu){_SP}?{_NUM}(?:{_SP}?(?:billion|million|trillion|tỷ|triệu))?|{_NUM}{_SP}?(?:billion|million|trillion|tỷ|triệu){_SP}?(?:đồng|USD|VND)?"
+_FACT_SQL = rf"""unnest(list_concat(
+  list_transform(regexp_extract_all(m, '\x01\p{{Nd}}+\x02(?:[,.]\x01\p{{Nd}}+\x02)?{_SP}?%'), lambda x: {{'k': 'percent', 'p': x}}),
+  list_transform(regexp_extract_all(text, '{_MONEY}'), lambda x: {{'k': 'money', 'p': x}}),
+  list_transform(regexp_extract_all(m, '\x01\p{{Nd}}{{1,2}}\x02[/-]\x01\p{{Nd}}{{1,2}}(?:\x02[/-]\x01\p{{Nd}}{{2,4}})?\x02|\x01\p{{Nd}}{{4}}\x02'), lambda x: {{'k': 'date', 'p': x}})))"""
+
+
+@query(f"""SELECT doc_id, x.k AS phrase_type, {_UNMARK.format("x.p")} AS phrase, count(*) AS n
+FROM (SELECT doc_id, {_FACT_SQL} AS x FROM (SELECT doc_id, text, {_MARKED} AS m FROM documents WHERE text IS NOT NULL)) GROUP BY ALL""")
 def factual_phrases(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem")
-    text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" % of USD "), F.col("l_partkey").cast("string"), F.lit(" million on "), F.date_format("l_shipdate", "dd/MM/yyyy"))
-    return phrases.factual_phrases(line.select(F.col("l_orderkey").alias("k"), "l_linenumber", text.alias("t")), ["k", "l_linenumber"], "t")
+    """Percentages, amounts and dates of all texts, as they stand."""
+    found = phrases.factual_phrases(_docs(spark, sf_dir).where("text is not null"), ["doc_id"])
+    return found.groupBy("doc_id", "phrase_type", "phrase").agg(F.count("*").alias("n"))
 
 
-_CAPS = r"""caps AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:[A-Z][\w.-]+(?:\s+|$)){1,5}')) AS raw FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\x00-\x7F]')),
-named AS (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(raw, '\s+', ' ', 'g'), '^\s+', ''), '\s+$', '')) AS phrase FROM caps)"""
+_CAP = rf"[A-Z\x{{c0}}-\x{{1ef4}}](?:[\x01\x02]*[{_W}\x{{c0}}-\x{{1ef9}}.\-])+[\x01\x02]*(?:{_SP}+|$)"
+_CAPS = rf"""caps AS (SELECT doc_id, unnest(regexp_extract_all(m, '[\x01\x02]{_CAP}(?:\x01?{_CAP}){{0,4}}')) AS raw
+  FROM (SELECT doc_id, {_MARKED} AS m FROM documents WHERE text IS NOT NULL)),
+named AS (SELECT doc_id, lower({_strip(f"regexp_replace({_UNMARK.format('raw')}, '{_WS}+', ' ', 'g')")}) AS phrase FROM caps)"""
 
 
 @query(f"WITH {_CAPS} SELECT doc_id, phrase, count(*) AS n FROM named WHERE phrase <> '' GROUP BY doc_id, phrase")
 def capitalised_phrases(spark, sf_dir):
-    """The part of ``capitalised_phrases_all`` that SQL can check: texts in plain
-    ASCII (SQL's word class is ASCII)."""
-    return _capitalised(_docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]")))
-
-
-@query()
-def capitalised_phrases_all(spark, sf_dir):
     """The generic recogniser on all texts."""
-    return _capitalised(_docs(spark, sf_dir))
-
-
-def _capitalised(d: DataFrame) -> DataFrame:
-    out = phrases.capitalised_phrases(d.where("text is not null"), ["doc_id"]).withColumn("phrase", TX.normalize_phrase(F.col("phrase"))).where("phrase <> ''")
+    d = _docs(spark, sf_dir).where("text is not null")
+    out = phrases.capitalised_phrases(d, ["doc_id"]).withColumn("phrase", TX.normalize_phrase(F.col("phrase"))).where("phrase <> ''")
     return out.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,19 +13,35 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    Taken from ``spark.checkpoint.dir``.  Only where the session names none
-    (tests, a laptop) a temporary folder is made and remembered.
+    Taken from ``spark.checkpoint.dir``.  Only a local session (tests, a laptop)
+    that names none gets a temporary folder; on a cluster that is an error, as
+    executors don't share a machine's folders.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = sc.getCheckpointDir()
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docloom-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; removed when its JVM ends."""
+    path = f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}"
+    if path not in _MADE:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+        _MADE.add(path)
+    return path
+
+
+_MADE: set[str] = set()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
@@ -32,16 +49,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     the table survives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(spark: SparkSession) -> None:
-    """Remove every table that :func:`written` left in the shared folder; what
-    was built on them can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove every table that :func:`written` left for this application; what was
+    built on them can't be read any more.  For sessions of many queries."""
+    path = _own_folder(spark)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _MADE.discard(path)
 
 
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:

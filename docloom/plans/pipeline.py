@@ -264,6 +264,7 @@ def direct(docs: DataFrame, config: PipelineConfig | None = None, summarizer: Su
         F.lit(1).cast("long").alias("llm_calls"),
         "chunk_count",
         F.lit(1).cast("long").alias("community_count"),
+        "error",
     )
 
 

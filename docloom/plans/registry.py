@@ -10,13 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.config import PipelineConfig
+from docloom.config import SUMMARY_BUDGETS, PipelineConfig
 from docloom.functions import text as TX
 from docloom.functions.vectors import HashEmbedding, embedder, with_embedding
 from docloom.operators import dedup, evaluate, graph, phrases, salience, segments
 from docloom.operators.blocks import nearest, similar_pairs
 from docloom.operators.components import connected_components
-from docloom.plans import pipeline, trace
+from docloom.plans import pipeline, prompts, trace
 from docloom.runtime import one_row_per, spread, table, written
 
 FLAGSHIP = "e2e_summary"
@@ -459,6 +459,22 @@ def rouge1_characters(spark, sf_dir):
     return evaluate.ngram_scores(pairs, ["result_id", "ref_idx"], 1, "unicode_char").withColumn("score", F.round("score", 6))
 
 
+@query(_rouge_sql(1, _WORDS))
+def pair_rouge1(spark, sf_dir):
+    """ROUGE-1 as the pipeline scores it."""
+    _, pairs = _pairs(spark, sf_dir)
+    scored = evaluate.pair_scores(pairs.withColumn("tokenizer", F.lit("default")), ["result_id", "ref_idx"])
+    return scored.select("result_id", "ref_idx", F.round("rouge1", 6).alias("score"))
+
+
+@query(_rouge_sql(2, _WORDS))
+def pair_rouge2(spark, sf_dir):
+    """ROUGE-2 as the pipeline scores it."""
+    _, pairs = _pairs(spark, sf_dir)
+    scored = evaluate.pair_scores(pairs.withColumn("tokenizer", F.lit("default")), ["result_id", "ref_idx"])
+    return scored.select("result_id", "ref_idx", F.round("rouge2", 6).alias("score"))
+
+
 @query()
 def rouge_best_reference(spark, sf_dir):
     """ROUGE-1, -2 and -L against the best reference, by the language's tokenizer."""
@@ -557,14 +573,51 @@ def community_dedup(spark, sf_dir):
 # ------------------------------------------------------------------ pipelines
 
 
-@query()
+def _case(column: str, table_: dict[str, str], other: str) -> str:
+    if not table_:
+        return other
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in table_.items()) + f" ELSE {other} END"
+
+
+_QUOTE = "'"
+_HINT = _case("dataset", prompts.VIETNAMESE_HINTS, f"'{prompts.VIETNAMESE_HINT.replace(_QUOTE, _QUOTE * 2)}'")
+_LIMIT = _case("dataset", {k: f"At most {v[0]} words, ending with a whole sentence." for k, v in SUMMARY_BUDGETS.items()}, "'No limit on length.'")
+_BLOCK = """'[Document ' || CAST(n AS VARCHAR) || ': ' || document_id || ']' || CASE WHEN coalesce(title, '') <> '' THEN chr(10) || 'Title: ' || title ELSE '' END
+  || CASE WHEN coalesce(source, '') <> '' THEN chr(10) || 'Source: ' || source ELSE '' END || chr(10) || coalesce(text, '')"""
+
+
+@query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY doc_ord, document_id) AS n FROM documents WHERE sample_id IS NOT NULL),
+s AS (SELECT sample_id, min(dataset) AS dataset, min(lower(substr(coalesce(lang, ''), 1, 2))) AS lang, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY n) AS body FROM d GROUP BY sample_id)
+SELECT sample_id, 'Summarise the documents. Use only what the material below says. Write in ' || CASE WHEN lang = 'vi' THEN 'Vietnamese' ELSE 'English' END || '.' || chr(10)
+  || CASE WHEN lang = 'vi' THEN {_HINT} ELSE 'Nothing beyond the rules above.' END || chr(10) || {_LIMIT}
+  || chr(10) || chr(10) || 'Source documents:' || chr(10) || '---' || chr(10) || {_strip("body")} || chr(10) || '---' AS prompt FROM s""")
 def direct_prompts(spark, sf_dir):
     return pipeline.direct_prompts(_docs(spark, sf_dir), REPORTED).select("sample_id", "prompt")
 
 
+def _relation(spark, sf_dir, name: str) -> DataFrame:
+    """One relation of a run without pairs of chunks or a summariser."""
+    docs = pipeline.prepare(_docs(spark, sf_dir))
+    return trace.text_relations(docs)[name]
+
+
+@query(f"""WITH {_SENTENCES} SELECT d.sample_id, d.document_id || ':s' || s.sent_index AS splitter_output_id, d.document_id, d.document_id || ':p' || s.paragraph_idx AS paragraph_id,
+  s.sent_index AS index, s.text FROM sent s JOIN documents d USING (doc_id) WHERE d.sample_id IS NOT NULL""")
+def trace_splitter_outputs(spark, sf_dir):
+    return _relation(spark, sf_dir, "splitter_outputs").withColumn("index", F.col("index").cast("long"))
+
+
+@query(f"""WITH {_UNITS}, ids AS (SELECT doc_id, sent_index, string_agg(sent_index, ',') OVER (PARTITION BY doc_id ORDER BY sent_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS list FROM sent)
+SELECT d.sample_id, d.document_id || ':u' || u.center AS segment_id, d.document_id, u.center AS center_index,
+  array_to_string(list_transform(string_split(ids.list, ','), lambda i: d.document_id || ':s' || i), ', ') AS splitter_output_ids, u.text
+FROM unit u JOIN ids ON ids.doc_id = u.doc_id AND ids.sent_index = u.center JOIN documents d ON d.doc_id = u.doc_id WHERE d.sample_id IS NOT NULL""")
+def trace_segments(spark, sf_dir):
+    return _relation(spark, sf_dir, "segments").withColumn("center_index", F.col("center_index").cast("long"))
+
+
 @query()
 def direct_summary(spark, sf_dir):
-    return pipeline.score(pipeline.direct(_docs(spark, sf_dir), REPORTED), table(spark, sf_dir, "ref_texts"), "default")
+    return pipeline.score(pipeline.direct(_docs(spark, sf_dir), REPORTED), table(spark, sf_dir, "ref_texts"), "default").drop("error")
 
 
 @query()

@@ -78,6 +78,24 @@ def split_documents(joined: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(joined))
 
 
+def with_row_number(rows: DataFrame, name: str) -> DataFrame:
+    """``name``: the number of the row, from 0, in the order of the table.
+
+    No global sort: partitions are counted first (one number for each reaches the
+    driver), and a row's number is its place behind the partitions before.
+    """
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())  # partition << 33 | place
+    counts = placed.groupBy(F.shiftright("_at", 33).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()
+    before, total = [], 0
+    for r in sorted(counts):
+        before.append((r["p"], total))
+        total += r["n"]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "_p int, _start long"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.withColumn("_p", F.shiftright("_at", 33).cast("int")).join(starts, "_p")
+    return out.withColumn(name, F.col("_start") + place).drop("_at", "_p", "_start")
+
+
 def read_multi_news(rows: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows``: document(s) as a string with separators or an array, summary or
     summaries.  The sample is the row's number; no row is dropped."""
@@ -93,8 +111,8 @@ def read_multi_news(rows: DataFrame, limit: int | None = None) -> tuple[DataFram
 
     if limit:
         rows = rows.limit(limit)
-    # numbered without a global sort: place of the partition, place within it
-    numbered = rows.withColumn("_d", pick("document", "documents")).withColumn("_s", pick("summary", "summaries")).withColumn("sample_id", F.monotonically_increasing_id().cast("string"))
+    numbered = with_row_number(rows.select(pick("document", "documents").alias("_d"), pick("summary", "summaries").alias("_s"), *[c for c in rows.columns if c in ("document", "documents")]), "sample_id")
+    numbered = numbered.withColumn("sample_id", F.col("sample_id").cast("string"))
     single = [n for n in ("document", "documents") if n in kinds and not kinds[n].startswith("array")]
     texts = F.when(F.size("_d") == 0, F.col("_d")).otherwise(split_documents(F.get("_d", F.lit(0)))) if single else F.col("_d")
     docs = numbered.select("sample_id", F.posexplode(texts).alias("doc_ord", "text"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.config import PipelineConfig
 from docloom.plans import pipeline, registry, trace
@@ -141,12 +142,10 @@ def test_capitalised_phrases_of_all_texts(spark, tmp_path):
         6: None,
     }
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r["doc_id"], r["phrase"]): r["n"] for r in registry.QUERIES["capitalised_phrases_all"](spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["phrase"]): r["n"] for r in registry.QUERIES["capitalised_phrases"](spark, str(tmp_path)).collect()}
     pattern = r"\b(?:[A-Z\u00c0-\u1ef4][\w\u00c0-\u1ef9.-]+(?:\s+|$)){1,5}"
     true = Counter((i, " ".join(m.split()).lower()) for i, t in texts.items() if t for m in re.findall(pattern, t))
     assert got == dict(true) and {i for i, _ in got} == {1, 2, 3, 4}
-    ascii_only = {(r["doc_id"], r["phrase"]): r["n"] for r in registry.QUERIES["capitalised_phrases"](spark, str(tmp_path)).collect()}
-    assert ascii_only == {k: n for k, n in got.items() if k[0] == 1}
 
 
 def test_grid_shares_its_base(spark):
@@ -170,6 +169,66 @@ def test_command_line(spark, tmp_path):
     assert cli.main(args) == 0
     rows = tables.read_results(spark, [out])
     assert rows.count() == 2 and float(rows.first()["rouge1"]) > 0
+    from docloom.plans.results import COLUMNS
+
+    assert set(rows.columns) == set(COLUMNS) and len(COLUMNS) == 44
+    assert float(rows.first()["runtime_seconds"]) > 0 and rows.first()["dedup_sim_threshold"] == "0.88"
     assert cli.main(["aggregate", out, "--output", str(tmp_path / "again")]) == 0
+    # runs with different settings aren't averaged together
+    other, both = str(tmp_path / "other"), str(tmp_path / "both")
+    assert cli.main([*args[:5], "--output", other, "--chunking", "simple", "--env-file", "none", "--dedup-threshold", "0.7", "--semantic-percentile", "40"]) == 0
+    assert cli.main(["aggregate", out, other, "--output", both]) == 0
+    means = tables.read_results(spark, [both])
+    assert {(r["dedup_sim_threshold"], r["n"]) for r in means.collect()} == {("0.88", "2"), ("0.7", "2")}
+    direct, failures = str(tmp_path / "direct"), str(tmp_path / "failures")
+    assert cli.main([*args[:5], "--direct", "--output", direct, "--failures", failures, "--print-rows", "--env-file", "none"]) == 0
+    row = tables.read_results(spark, [direct]).first()
+    assert row["run_mode"] == "pure_llm" and row["alpha"] is None and row["embedding_model"] == "none"
     for path in (total, str(tmp_path / "again")):
         assert tables.read_results(spark, [path]).first()["n"] == "2"
+
+
+def test_bio_tags():
+    from docloom.operators.recognise import TaggedRecogniser, decode_bio
+
+    tags = [("Hà", "B-LOC"), ("Nội", "I-LOC"), ("có", "O"), ("x", "I-PER"), ("An", "B-PER"), ("Bình", "B-PER"), ("Ba", "I-ORG"), ("y", None), ("Z", "B-")]
+    assert decode_bio(tags) == [("Hà Nội", "loc"), ("An", "per"), ("Bình Ba", "per"), ("Z", "entity")]
+    assert decode_bio([]) == []
+    assert TaggedRecogniser(lambda t: [(w, "N", "B-X") for w in t.split()]).entities("a b") == [("a", "x"), ("b", "x")]
+
+
+class Upper:
+    def entities(self, text):
+        return [(w, "person") for w in text.split() if w.isupper()]
+
+
+def test_recognisers_by_language(spark):
+    from docloom.operators import phrases
+    from docloom.operators.recognise import type_family
+
+    rows = [(1, "vi", "ANNA met Bob Hope on 1999"), (2, "fr", "ANNA met Bob Hope"), (3, "vi", None), (4, None, "Bob Hope")]
+    docs = spark.createDataFrame(rows, "id long, lang string, text string")
+    got = {tuple(r) for r in phrases.extract(docs, ["id"], "text", "lang", {"vi": Upper}).collect()}
+    assert got == {(1, "person", "ANNA"), (1, "date", "1999"), (2, "entity", "ANNA"), (2, "entity", "Bob Hope"), (4, "entity", "Bob Hope")}
+    kinds = spark.createDataFrame([(k,) for k in ("PER", "organization", "gpe", "money", "thing")], "k string")
+    assert [r[0] for r in kinds.select(type_family(F.col("k"))).collect()] == ["person", "org", "location", "money", "entity"]
+
+
+def test_row_numbers(spark):
+    rows = spark.range(0, 57, 1, 5).withColumnRenamed("id", "x")
+    got = clusters.with_row_number(rows, "n").collect()
+    assert len(got) == 57 and all(r["n"] == r["x"] for r in got)
+    assert clusters.with_row_number(rows.limit(0), "n").count() == 0
+
+
+def test_direct_trace_and_edge_dot(spark):
+    from docloom.plans import trace
+
+    docs = small_docs(spark)
+    done, asked = pipeline.direct(docs, SMALL), pipeline.direct_prompts(docs, SMALL)
+    out = trace.trace_direct(done, asked)
+    assert {r["step_type"] for r in out["summary_steps"].collect()} == {"direct"}
+    assert {r["kind"] for r in out["summary_graph_nodes"].collect()} == {"direct_llm", "final"}
+    edges = spark.createDataFrame([("s", 'a"b', "c", 0.5, 0.25)], "sample_id string, source string, target string, weight double, position double")
+    text = trace.edge_dot(edges).first()["dot"]
+    assert '"a\\"b" -- "c" [label="weight=0.500\\nposition=0.250"];' in text

@@ -226,6 +226,33 @@ def weighted_edges(spark, sf_dir):
     return out.select("label", "i", "j", *[F.round(c, 6).alias(c) for c in ("position_similarity", "content_similarity", "weight")])
 
 
+_FULL_EDGES = ORACLES["duplicate_groups"].split("SELECT label, vec_id, leader AS representative")[0].rstrip() + f""", {_EDGES},
+ph AS (SELECT label, vec_id, 'p' || vec_id % 7 AS phrase, 1.15 AS t FROM embeddings UNION ALL SELECT label, vec_id, 'q' || vec_id % 11, 1.0 FROM embeddings),
+df AS (SELECT label, phrase, count(*) AS df FROM ph GROUP BY ALL), size AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+w AS (SELECT label, vec_id, phrase, t * (ln((size.n + 1.0) / (df + 1)) + 1) AS w FROM ph JOIN df USING (label, phrase) JOIN size USING (label)),
+norm AS (SELECT label, vec_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dot AS (SELECT part.label, part.i, part.j, sum(a.w * b.w) AS dot FROM part JOIN w a ON a.label = part.label AND a.vec_id = part.i JOIN w b ON b.label = part.label AND b.vec_id = part.j AND b.phrase = a.phrase GROUP BY ALL),
+full_part AS (SELECT part.label, part.i, part.j, p, c, coalesce(dot / (x.norm * y.norm), 0) AS e, CASE WHEN g.n > 1 AND g.leader = h.leader THEN CAST(0.35 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS penalty
+  FROM part JOIN norm x ON x.label = part.label AND x.vec_id = part.i JOIN norm y ON y.label = part.label AND y.vec_id = part.j
+  JOIN sized g ON g.label = part.label AND g.vec_id = part.i JOIN sized h ON h.label = part.label AND h.vec_id = part.j
+  LEFT JOIN dot ON dot.label = part.label AND dot.i = part.i AND dot.j = part.j)
+SELECT label, i, j, round(e, 6) AS entity_similarity, penalty AS redundancy_penalty, penalty < 1 AS is_duplicate_edge, round((0.1 * p + 0.3 * e + 0.6 * c) * penalty, 6) AS weight
+FROM full_part WHERE (0.1 * p + 0.3 * e + 0.6 * c) * penalty > 0"""
+
+
+@query(_FULL_EDGES)
+def full_edges(spark, sf_dir):
+    """Edges with phrases (made from the numbers of the vectors) and duplicate groups."""
+    v = _vectors(spark, sf_dir).withColumn("document", F.floor(F.col("vec_id") / 20)).withColumn("position", F.col("vec_id") % 20)
+    c = graph.candidate_edges(v, "label", "vec_id", "document", "position", "embedding", 8)
+    parts = [v.select("label", "vec_id", F.concat(F.lit(name), (F.col("vec_id") % n).cast("string")).alias("phrase"), F.array(F.lit(kind)).alias("types")) for name, n, kind in (("p", 7, "org"), ("q", 11, "entity"))]
+    typed = parts[0].unionByName(parts[1])
+    similarity = phrases.phrase_similarity(typed, phrases.phrase_idf(typed, v, "label", "vec_id"), c, "label", "vec_id")
+    groups = dedup.duplicate_groups(v, "label", "vec_id", [], "embedding", 0.3)
+    out = graph.weigh(graph.edge_components(c, v, "label", "vec_id", "document", "position", "embedding", similarity, groups), REPORTED.weights(), 0.35)
+    return out.select("label", "i", "j", F.round("entity_similarity", 6).alias("entity_similarity"), "redundancy_penalty", "is_duplicate_edge", F.round("weight", 6).alias("weight"))
+
+
 _GRID = """grid AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS grid_no, a AS alpha, b AS beta, round(1 - a - b, 10) AS gamma FROM (
   SELECT DISTINCT round(i * 0.05, 10) AS a, round(least(j * 0.1, 1 - i * 0.05), 10) AS b FROM generate_series(0, 4) x(i), generate_series(0, 10) y(j)))"""
 

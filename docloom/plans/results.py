@@ -70,8 +70,9 @@ def result_rows(scored: DataFrame, mode: str, config: PipelineConfig, budgets: t
     null.  ``names``: embedding_backend, embedding_model, llm, llm_model.
     ``seconds``: wall-clock seconds for each sample."""
     made: dict[str, Column] = {"run_mode": F.lit(mode), "reference_selector": F.lit(SELECTOR), "generated_summary": F.col("summary"), "rougeL": F.col("rougel")}
-    made |= {c: F.lit(getattr(config, f)) if mode == GRAPH else F.lit(None).cast("string") for c, f in _SETTINGS.items()}
-    made["gamma"] = F.lit(config.weights().gamma) if mode == GRAPH else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    made |= {c: none if mode != GRAPH or getattr(config, f) is None else F.lit(getattr(config, f)) for c, f in _SETTINGS.items()}
+    made["gamma"] = F.lit(config.weights().gamma) if mode == GRAPH else none
     if mode == DIRECT:
         made |= {"salience": F.lit("none"), "chunking": F.lit("none"), "use_graph": F.lit(False)}
     made |= {"max_summary_words": budgets[0], "max_output_tokens": budgets[1], "runtime_seconds": F.lit(seconds).cast("double")}

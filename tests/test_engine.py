@@ -197,15 +197,14 @@ def test_bio_tags():
     assert TaggedRecogniser(lambda t: [(w, "N", "B-X") for w in t.split()]).entities("a b") == [("a", "x"), ("b", "x")]
 
 
-class Upper:
-    def entities(self, text):
-        return [(w, "person") for w in text.split() if w.isupper()]
-
-
 def test_recognisers_by_language(spark):
     from docloom.operators import phrases
     from docloom.operators.recognise import type_family
 
+    class Upper:
+        def entities(self, text):
+            return [(w, "person") for w in text.split() if w.isupper()]
+
     rows = [(1, "vi", "ANNA met Bob Hope on 1999"), (2, "fr", "ANNA met Bob Hope"), (3, "vi", None), (4, None, "Bob Hope")]
     docs = spark.createDataFrame(rows, "id long, lang string, text string")
     got = {tuple(r) for r in phrases.extract(docs, ["id"], "text", "lang", {"vi": Upper}).collect()}

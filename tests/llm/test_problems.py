@@ -77,6 +77,20 @@ def test_windows_are_compared_by_their_characters(monkeypatch):
     assert list(zip(*(x.tolist() for x in got), strict=True)) == [(1, 0, 72), (2, 1, 73)]
 
 
+def test_a_stretch_of_several_records_beside_one_that_shares_nothing(spark):
+    """A block of which only the stretches of several records have shared windows."""
+    got = spans._shared_windows(np.zeros(2, np.int64), np.array([1, 3]), np.zeros(2, np.int64), ["abcdefgh" * 9, "z" * 80], np.array([True, False]), 70)
+    assert [len(x) for x in got] == [0, 0, 0]
+    rng = random.Random(12)
+    whole = prose(rng, 60)
+    (_, position, anchor), *_ = spans.winnow([whole], 200)
+    passage = whole[position[len(position) // 2] :][: spans.ANCHOR]
+    alone = next(t for t in (prose(rng, 30) + passage + prose(rng, 30) for _ in range(200)) if set(anchor.tolist()) & set(next(spans.winnow([t], 200))[2].tolist()))
+    texts = {1: whole, 2: whole, 3: alone}
+    got = {tuple(r) for r in spans.shared_spans(spark.createDataFrame([*texts.items()], "rec long, text string")).collect()}
+    assert got == brute_spans(texts, 200) == {(1, 0, len(whole)), (2, 0, len(whole))}
+
+
 def test_spans_of_nothing(spark):
     assert spans.shared_spans(spark.createDataFrame([], "rec long, text string")).count() == 0
     docs = spark.createDataFrame([(1, "x" * 250), (2, "x" * 250), (3, "")], "doc_id long, text string")

@@ -1,13 +1,12 @@
 """Problem 8: mix sources to target shares by entropy balancing.
 
 Each document ``d`` gets a rate ``r_d``.  Among all rates that give every source
-its tokens, those closest in entropy to the base rates (the same for every
-document of a source: its budget over its tokens) are exponentially tilted:
-``r_d = min(cap, base_s * exp(lam_s * t_d / mean_s))``, one multiplier ``lam_s``
-for each token constraint.  The multipliers solve a convex dual; Newton steps
-(kept inside a bracket) run as distributed sums over the table of (source, token
-count, documents), which is exact because the rate depends on nothing else.  As
-the base rates are those of the source, short and long documents are used alike.
+its tokens and stay below its cap, those closest in entropy to using the
+documents of a source alike are wanted, so that short and long ones are used
+alike.  This balance has a closed form: a source's budget over its tokens is one
+rate for all of its documents, meets the budget, doesn't exceed the cap (the
+budget is cut to what the source can give) and is at no distance from using them
+alike.  So nothing is iterated; multipliers by length would all be zero.
 The rates are then rounded into whole copies so that each source ends within a
 few tokens of its budget, where its documents allow it; a source whose budget
 its documents don't reach at their cap is used up, and what it lacks is reported.
@@ -15,8 +14,6 @@ its documents don't reach at their cap is used up, and what it lacks is reported
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +21,6 @@ from pyspark.sql import functions as F
 from docloom.llm.tokens import DEFAULT_VOCABULARY, count_tokens
 from docloom.runtime import written
 
-MAX_STEPS = 40
 TOLERANCE = 1e-9
 BUCKETS = 4096
 
@@ -34,46 +30,9 @@ def source_key(column: str):
     return F.lower(F.regexp_replace(F.col(column), r"(?U)\A\s+|\s+\z", ""))
 
 
-def _multipliers(profile: DataFrame, plan: dict[str, dict]) -> dict[str, float | None]:
-    """lam for each source; None where the budget needs every document at its cap."""
-    spark = profile.sparkSession
-    state = {}
-    for key, p in plan.items():
-        if p["budget"] < p["cap"] * p["tokens"] * (1 - TOLERANCE):
-            state[key] = {"lam": 0.0, "lo": -math.inf, "hi": math.inf, "done": False}
-    for _ in range(MAX_STEPS):
-        todo = [(k, s["lam"], plan[k]["mean"], float(plan[k]["cap"]), plan[k]["base"]) for k, s in state.items() if not s["done"]]
-        if not todo:
-            break
-        lams = spark.createDataFrame(todo, "key string, lam double, mean double, cap double, base double")
-        tilt = F.col("base") * F.exp(F.col("lam") * F.col("tokens") / F.col("mean"))
-        mass = F.col("n") * F.col("tokens")
-        sums = (
-            profile.join(F.broadcast(lams), "key")  # one row for each source of the target table
-            .groupBy("key")
-            .agg(
-                F.sum(mass * F.least(F.col("cap"), tilt)).alias("value"),
-                F.sum(F.when(tilt < F.col("cap"), mass * F.col("tokens") / F.col("mean") * tilt).otherwise(0.0)).alias("slope"),
-            )
-            .collect()
-        )
-        for row in sums:
-            s, want = state[row["key"]], plan[row["key"]]["budget"]
-            gap = row["value"] - want
-            if abs(gap) <= TOLERANCE * max(1.0, want):
-                s["done"] = True
-                continue
-            s["hi" if gap > 0 else "lo"] = s["lam"]
-            step = s["lam"] - gap / row["slope"] if row["slope"] > 0 else math.nan
-            if not s["lo"] < step < s["hi"]:
-                if math.isinf(s["hi"]):
-                    step = 2 * s["lo"] + 1
-                elif math.isinf(s["lo"]):
-                    step = 2 * s["hi"] - 1
-                else:
-                    step = (s["lo"] + s["hi"]) / 2
-            s["lam"] = step
-    return {k: state[k]["lam"] if k in state else None for k in plan}
+def _rate(budget: float, tokens: int, cap: int) -> float:
+    """Uses of each document of a source of so many tokens."""
+    return budget / tokens if budget < cap * tokens * (1 - TOLERANCE) else float(cap)
 
 
 def _fill(near: DataFrame, budgets: dict[str, float], passes: int = 3) -> list[tuple[int, int]]:
@@ -142,14 +101,10 @@ def mix(
     slim = slim.join(F.broadcast(known.select("key")), "key", "left_semi")
     counted = count_tokens(slim, ["doc_id", "key"], vocabulary=vocabulary)
     sized = written(counted.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
-    profile = written(sized.where("tokens > 0").groupBy("key", "tokens").agg(F.count("*").alias("n")), "mix-profile")
-    have = {
-        r["key"]: r
-        for r in profile.groupBy("key").agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"), F.sum("n").alias("n")).collect()
-    }
+    have = {r["key"]: r["tokens"] for r in sized.where("tokens > 0").groupBy("key").agg(F.sum("tokens").alias("tokens")).collect()}
     weight = sum(plan_rows[k]["target_share"] for k in have)
     size, short = 0.0, 0.0
-    for most, share in sorted((int(plan_rows[k]["max_repeats"]) * have[k]["tokens"] / plan_rows[k]["target_share"], plan_rows[k]["target_share"]) for k in have):
+    for most, share in sorted((int(plan_rows[k]["max_repeats"]) * have[k] / plan_rows[k]["target_share"], plan_rows[k]["target_share"]) for k in have):
         size, short = most, short + share
         if short > shortfall * weight:
             break
@@ -157,18 +112,11 @@ def mix(
         size = float(total_tokens)
     plan = {}
     for k in have:
-        budget, cap = size * plan_rows[k]["target_share"], int(plan_rows[k]["max_repeats"])
-        budget = min(budget, float(cap * have[k]["tokens"]))
-        plan[k] = {"budget": budget, "tokens": have[k]["tokens"], "mean": have[k]["tokens"] / have[k]["n"], "cap": cap, "base": budget / have[k]["tokens"]}
-    lams = _multipliers(profile, plan)
-    tilts = spark.createDataFrame(
-        [(k, lams[k], p["mean"], p["cap"], float(p["budget"]), float(p["base"])) for k, p in plan.items()],
-        "key string, lam double, mean double, cap int, budget double, base double",
-    )
-    rate = F.when(F.col("lam").isNull(), F.col("cap").cast("double")).otherwise(
-        F.least(F.col("cap").cast("double"), F.col("base") * F.exp(F.col("lam") * F.col("tokens") / F.col("mean")))
-    )
-    rated = sized.where("tokens > 0").join(F.broadcast(tilts), "key").withColumn("rate", rate)
+        cap = int(plan_rows[k]["max_repeats"])
+        budget = min(size * plan_rows[k]["target_share"], float(cap * have[k]))
+        plan[k] = {"budget": budget, "cap": cap, "rate": _rate(budget, have[k], cap)}
+    rates = spark.createDataFrame([(k, p["cap"], p["budget"], p["rate"]) for k, p in plan.items()], "key string, cap int, budget double, rate double")
+    rated = sized.where("tokens > 0").join(F.broadcast(rates), "key")
     rated = rated.withColumn("whole", F.floor("rate").cast("int")).withColumn("part", F.col("rate") - F.col("whole"))
     chance = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rated = rated.withColumn("turn", F.when(F.col("part") > 1e-12, chance / F.col("part")))

@@ -555,6 +555,27 @@ def test_mix_reaches_its_shares(spark):
     assert len(empty) == 5 and all(r["tokens"] == 0 for r in empty)
 
 
+def test_rates_are_the_closest_ones_and_nothing_else_is_computed(spark, monkeypatch):
+    lengths = np.array([3, 10, 40, 7, 90.0])
+    rate = mixing._rate(60.0, 150, 2)
+    assert rate * lengths.sum() == pytest.approx(60)
+    distance = lambda r: float((r / r.sum() * np.log(r / r.sum() * len(r))).sum())
+    rng = np.random.default_rng(5)
+    for _ in range(50):  # other rates with the same tokens are farther from using all alike
+        move = rng.normal(size=5)
+        move -= lengths * (lengths @ move) / (lengths @ lengths)
+        other = rate + 0.3 * move / np.abs(move).max()
+        assert other @ lengths == pytest.approx(60) and distance(other) > 1e-9 > abs(distance(np.full(5, rate)))
+    assert [mixing._rate(b, 150, 2) for b in (299.9, 300.0, 300.0 - 1e-9)] == [pytest.approx(299.9 / 150), 2.0, 2.0]
+    labels, write = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, label: (labels.append(label), write(df, label))[1])
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", f"word {i} " * (i % 7 + 1)) for i in range(60)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mixing.mix(docs, targets, total_tokens=200)[1].collect()}
+    assert labels == ["mix-sizes", "mix-copies", "mix-copies"]
+    assert all(abs(r["tokens"] - 100) <= 3 and 0 < r["copies"] for r in report.values())
+
+
 # ---------------------------------------------------------------- 9: reading
 
 
